@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, sharding, url_reputation
+from . import decontaminate, language_id, license_scan, packing, sharding, tokens, url_reputation
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -30,12 +30,26 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 def op5_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of near equal bytes."""
     out = sharding.bounded_load_shards(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files written and read back."""
+    import public_tokenizers
+
+    return tokens.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,7 +63,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op5_bounded_load_ring, op8_decontaminate, op9_license_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_packing, op5_bounded_load_ring, op7_token_files, op8_decontaminate, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
