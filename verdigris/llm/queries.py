@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, packing, sharding, tokens, url_reputation
+from . import additive_ann, decontaminate, language_id, license_scan, packing, sharding, tokens, url_reputation
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -62,8 +62,14 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors of every twentieth."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return additive_ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_packing, op5_bounded_load_ring, op7_token_files, op8_decontaminate, op9_license_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_packing, op5_bounded_load_ring, op7_token_files, op8_decontaminate, op9_license_scan, op10_additive_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
