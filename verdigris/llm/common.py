@@ -66,6 +66,31 @@ def distinct_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return bucketed(one, "digest", path, shuffle_partitions(docs.sparkSession))
 
 
+#: A group with more than 1/HOT of all rows counts as hot; there are fewer than HOT such groups.
+HOT = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, group_key: str, size: str) -> DataFrame:
+    """rows joined with the one row of groups that has their key; every key must be there.
+
+    groups has the number of rows of each key in column `size`.  Rows of hot keys join a broadcast of
+    fewer than HOT groups and are not shuffled by key.  groups must be cheap to compute twice or stored.
+    """
+    total = rows.count()
+    groups = groups.withColumnRenamed(group_key, "__group")
+    if total < HOT:
+        return rows.join(groups, F.col(key) == F.col("__group")).drop("__group")
+    hot = groups.filter(F.col(size) * HOT > total)
+    cold = groups.filter(F.col(size) * HOT <= total)
+    names = [c for c in groups.columns if c != "__group"]
+    marked = rows.join(F.broadcast(hot.select("__group", F.struct(*names).alias("__hot"))), F.col(key) == F.col("__group"), "left").drop("__group")
+    own = F.concat(F.lit("hot "), F.monotonically_increasing_id().cast("string")).cast("binary")
+    marked = marked.withColumn("__key", F.when(F.col("__hot").isNotNull(), own).otherwise(F.col(key)))
+    joined = marked.join(cold, F.col("__key") == F.col("__group"), "left").drop("__group", "__key")
+    rest = [F.col(f"`{c}`") for c in rows.columns]
+    return joined.select(*rest, *[F.when(F.col("__hot").isNotNull(), F.col(f"__hot.{c}")).otherwise(F.col(f"`{c}`")).alias(c) for c in names])
+
+
 # ---- numpy kernels over concatenated bytes ---------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64

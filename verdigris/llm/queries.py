@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, decontaminate, language_id, license_scan, packing, sharding, tokens, url_reputation
+from . import additive_ann, decontaminate, language_id, license_scan, packing, sharding, suffix_dedup, tokens, url_reputation
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -37,6 +37,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that occur again, removed from every document."""
+    out = suffix_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of near equal bytes."""
     out = sharding.bounded_load_shards(table(spark, sf_dir, "documents"), 16)
@@ -69,7 +75,7 @@ def op10_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_packing, op5_bounded_load_ring, op7_token_files, op8_decontaminate, op9_license_scan, op10_additive_ann)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_packing, op4_suffix_dedup, op5_bounded_load_ring, op7_token_files, op8_decontaminate, op9_license_scan, op10_additive_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
