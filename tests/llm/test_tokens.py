@@ -11,7 +11,7 @@ from verdigris.llm import packing, queries, tokens
 
 DATA = "/root/testdata/sf0.001"
 KINDS = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
-TEXT = st.lists(st.sampled_from(["a", "Word", "it's", "don't", ",", ".", " ", "  ", "\n", "\n\n", "\t", " \n", "é", "ß", "漢字", "123", "!?", "<|endoftext|>", " ", "\x1c", "é", "ΑΣ", "x.y,", "\r\n"]), max_size=14).map("".join)
+TEXT = st.lists(st.sampled_from(["a", "Word", "it's", "don't", ",", ".", " ", "  ", "\n", "\n\n", "\t", " \n", "é", "ß", "漢字", "123", "!?", "<|endoftext|>", " ", "\x1c", "é", "ΑΣ", "ÀÉ", "ÿß,", "İ", "µ", "x.y,", "\r\n"]), max_size=14).map("".join)
 
 
 @pytest.mark.parametrize("name,kept", KINDS)

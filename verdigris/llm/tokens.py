@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from array import array
 
@@ -22,30 +21,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, shuffle_partitions
+from .common import RollingHash, parts_by_bytes, shared_dir, shuffle_partitions
 
 #: Ids of one block, at least; memory of a writing task is bounded by this and one document.
 BLOCK_IDS = 1 << 20
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Pieces of text whose ids a worker remembers from lately; as many more from before that.
+REMEMBERED = 500_000
 #: Pieces encoded in one call, parted by a special token.
 _AT_ONCE = 64
 
-_SPACE_BEFORE_SPACE = re.compile(r" (?:\s|$)")
-_CUT_SPACE = re.compile(r" (?=\S)")
-_CUT_LINE = re.compile(r"(?<=\S)\n(?=\S)")
+#: Marks that may follow a word; an apostrophe may be part of one.
+_MARKS = ".,;:!?*#&%$@|()\"-\n"
+#: Bytes of text that are cut into pieces at once.
+_CHUNK = 1 << 21
+#: ASCII white space, as any library sees it, and the bytes that other white space begins with.
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
+_MAY_BEGIN_SPACE = _SPACE.copy()
+_MAY_BEGIN_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_MAY_END_SPACE = _SPACE.copy()
+_MAY_END_SPACE[0x80:] = True
 
 #: The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others follow 255 in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_BLANK = chr(_BYTE_LEVEL[32])
 
 
 class PieceEncoder:
     """Exact ids of whole texts, reusing the ids of pieces that occur again.
 
-    spaces_kept: the tokenizer keeps white space and splits before a single space that a word follows,
-    or after a single line feed, so cutting there changes nothing.  Otherwise it drops white space
-    and any of it may be cut.  Texts that hold `<|` are encoded uncut, for the sake of special tokens.
+    spaces_kept: the tokenizer keeps white space and splits before a single blank that no white space
+    follows, and around a single line feed, so cutting before the blank and after the line feed
+    changes nothing.  Otherwise it drops white space and any of it may be cut out.  Texts that hold
+    `<|` are encoded uncut, for the sake of special tokens.
     """
 
     def __init__(self, path: str, spaces_kept: bool):
@@ -58,72 +67,127 @@ class PieceEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content.startswith("<|") and not (t.lstrip or t.rstrip)]
         self.parting = special[0] if special else None
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # pieces known from longer ago
 
-    def pieces(self, text: str) -> list[str]:
+    def _cut(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the pieces of joined texts, of which `first` has the first bytes."""
         if not self.spaces_kept:
-            return [p for p in text.replace("\n", " ").split(" ") if p]
-        out: list[str] = []
-        for line in _CUT_LINE.split(text):
-            if out:
-                out[-1] += "\n"
-            words = _CUT_SPACE.split(line) if _SPACE_BEFORE_SPACE.search(line) else line.split(" ")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        return out
+            inside = np.concatenate([[False], (data != 32) & (data != 10), [False]])
+            inside_next, inside_before = inside[1:], inside[:-1]
+            starts, ends = np.flatnonzero(inside_next & ~inside_before), np.flatnonzero(inside_before & ~inside_next)
+            # a piece must not reach into the next text
+            cuts = first[(first < len(data))]
+            cuts = cuts[inside[1:][cuts] & inside[cuts]]
+            return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+        after = np.append(data[1:], 32)
+        blank = (data == 32) & ~_MAY_BEGIN_SPACE[after]
+        line = np.zeros(len(data), bool)
+        line[1:] = (data[:-1] == 10) & ~_MAY_BEGIN_SPACE[data[1:]]
+        line[1:2] = False
+        line[2:] &= ~_MAY_END_SPACE[data[:-2]]
+        start = blank | line
+        start[first[first < len(data)]] = True
+        starts = np.flatnonzero(start)
+        return starts, np.append(starts[1:], len(data))
 
     def _packed(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Find the ids of new pieces.  A word parts from the mark that ends it; plain words need no pre-tokenizer."""
-        known, words, rest, ended = self.known, {}, [], []
-        for piece in new:
-            body = piece[:-1] if piece[-1:] in (",", ".") else piece
-            word = self._plain(body)
-            if word is None:
-                rest.append(piece)
+    def _learn(self, new: list[bytes]) -> None:
+        """Find the ids of new pieces.  A word parts from the marks that end it; plain words need no pre-tokenizer."""
+        known, before, tokenize, code = self.known, self.before, self.tokenizer.model.tokenize, self.code
+        rest, ended, marks = {}, [], {}
+        for raw in new:
+            if before and (old := before.pop(raw, None)) is not None:
+                known[raw] = old
+                continue
+            piece = raw.decode(errors="replace")
+            body = piece.rstrip(_MARKS)
+            mark = piece[len(body) :]
+            stem = raw[: len(raw) - len(mark)] if mark else raw  # marks are ASCII
+            if not body.lstrip(" ").isalpha():  # marks part from letters only
+                rest[raw] = piece
                 continue
-            if body not in known:
-                words[body] = word
-            if body is not piece:
-                ended.append((piece, body, piece[-1]))
-        tokenize, pack = self.tokenizer.model.tokenize, self._packed
-        for body, word in words.items():
-            known[body] = pack([t.id for t in tokenize(word)])
-        rest += [m for m in (",", ".") if m not in known]
+            if stem not in known:
+                word = self._plain(body)
+                if word is None:
+                    rest[raw] = piece
+                    continue
+                known[stem] = array(code, [t.id for t in tokenize(word)]).tobytes()
+            if mark:
+                ended.append((raw, stem, mark))
+                marks[mark.encode()] = mark
+        self._learn_any(rest | {k: m for k, m in marks.items() if k not in known})
+        for raw, stem, mark in ended:
+            known[raw] = known[stem] + known[mark.encode()]
+
+    def _learn_any(self, pieces: dict[bytes, str]) -> None:
+        raws = list(pieces)
         if self.parting is None:
-            for piece, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                known[piece] = pack(e.ids)
-        else:
-            mark, number = self.parting
-            groups = [rest[i : i + _AT_ONCE] for i in range(0, len(rest), _AT_ONCE)]
-            for group, e in zip(groups, self.tokenizer.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, self.dtype)
-                data, at = ids.tobytes(), 0
-                for piece, end in zip(group, [*(np.flatnonzero(ids == number) * self.dtype.itemsize).tolist(), len(data)], strict=True):
-                    known[piece] = data[at:end]
-                    at = end + self.dtype.itemsize
-        for piece, body, mark in ended:
-            known[piece] = known[body] + known[mark]
+            for raw, e in zip(raws, self.tokenizer.encode_batch_fast([pieces[r] for r in raws], add_special_tokens=False), strict=True):
+                self.known[raw] = self._packed(e.ids)
+            return
+        mark, number = self.parting
+        groups = [raws[i : i + _AT_ONCE] for i in range(0, len(raws), _AT_ONCE)]
+        texts = [mark.join(pieces[r] for r in g) for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            data, at = ids.tobytes(), 0
+            for raw, end in zip(group, [*(np.flatnonzero(ids == number) * self.dtype.itemsize).tolist(), len(data)], strict=True):
+                self.known[raw] = data[at:end]
+                at = end + self.dtype.itemsize
 
     def _plain(self, body: str) -> str | None:
-        """What the model sees of a piece that is one word and nothing else; None of any other piece."""
-        if self.spaces_kept:
-            return body.encode().decode("latin-1").translate(_BYTE_LEVEL) if body[:1] == " " and body[1:].isalpha() else None
-        return body.lower() if body.isascii() and body.isalpha() else None
+        """What the model sees of a piece that is one word of Latin-1 letters and nothing else; None of any other piece."""
+        blank = self.spaces_kept and body[:1] == " "
+        word = body[1:] if blank else body
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            if max(word) > "\xff":
+                return None
+            word = (word if self.spaces_kept else word.lower()).encode().decode("latin-1").translate(_BYTE_LEVEL)
+        elif not self.spaces_kept:
+            word = word.lower()
+        return _BLANK + word if blank else word
+
+    def _encode_joined(self, texts: list[bytes]) -> list[bytes]:
+        joined = b"".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        starts, stops = self._cut(data, ends - np.array([len(t) for t in texts]))
+        _, where, which = np.unique(RollingHash(data).slices(starts, stops), return_index=True, return_inverse=True)
+        pieces = [joined[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist(), strict=True)]
+        ids = list(map(self.known.get, pieces))
+        if new := [p for p, i in zip(pieces, ids, strict=True) if i is None]:
+            self._learn(new)
+            ids = list(map(self.known.__getitem__, pieces))
+        width = self.dtype.itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        firsts = np.cumsum(sizes) - sizes
+        lengths = sizes[which]
+        stop = np.cumsum(lengths)
+        total = int(stop[-1]) if len(stop) else 0
+        flat = np.frombuffer(b"".join(ids), self.dtype)[np.repeat(firsts[which] - (stop - lengths), lengths) + np.arange(total)].tobytes()
+        of_text = np.append(0, stop)[np.searchsorted(starts, ends, side="left")] * width
+        return [flat[a:b] for a, b in zip([0, *of_text[:-1].tolist()], of_text.tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as packed little-endian integers; null counts as empty."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [None if t and "<|" in t else self.pieces(t or "") for t in texts]
-        known = self.known
-        new = list({p for c in cut if c for p in c if p not in known})
-        if new:
-            self._learn(new)
-        get = known.__getitem__
-        return [self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+            self.known, self.before = {}, self.known
+        out: list[bytes] = [b""] * len(texts)
+        whole = [i for i, t in enumerate(texts) if t and "<|" in t]
+        for i in whole:
+            out[i] = self._packed(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
+        left = set(whole)
+        rows = [i for i, t in enumerate(texts) if t and i not in left]
+        bodies = [texts[i].encode() for i in rows]
+        for part in parts_by_bytes(np.array([len(b) for b in bodies], np.int64), _CHUNK):
+            for i, ids in zip(rows[part], self._encode_joined(bodies[part]), strict=True):
+                out[i] = ids
+        return out
 
 
 @functools.lru_cache(4)
