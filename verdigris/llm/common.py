@@ -57,12 +57,13 @@ def bucketed(df: DataFrame, key: str, path: str, buckets: int) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """One row per different text: digest, text, copies.  Copies are combined before the shuffle.
+    """One row per different text: digest, text, copies, tid (a number of its own).
 
-    Bucketed by digest; null texts count as empty.
+    Copies are combined before the shuffle.  Bucketed by digest; null texts count as empty.
     """
     base = docs.select(text_or_empty(text).alias("text")).select(digest(F.col("text")).alias("digest"), "text")
     one = base.groupBy("digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    one = one.withColumn("tid", F.monotonically_increasing_id())
     return bucketed(one, "digest", path, shuffle_partitions(docs.sparkSession))
 
 

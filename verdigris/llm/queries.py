@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, decontaminate, language_id, license_scan, packing, sharding, suffix_dedup, tokens, url_reputation
+from . import additive_ann, decontaminate, jaccard_join, language_id, license_scan, packing, sharding, suffix_dedup, tokens, url_reputation
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -49,6 +49,11 @@ def op5_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles agree to nine tenths."""
+    return jaccard_join.join_similar(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files written and read back."""
     import public_tokenizers
@@ -75,7 +80,7 @@ def op10_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_packing, op4_suffix_dedup, op5_bounded_load_ring, op7_token_files, op8_decontaminate, op9_license_scan, op10_additive_ann)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_packing, op4_suffix_dedup, op5_bounded_load_ring, op6_jaccard_join, op7_token_files, op8_decontaminate, op9_license_scan, op10_additive_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
