@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.lower import Lowered, convert, equal, literal, to_variant
+from ..operators.lower import Lowered, convert, equal, from_variant, literal, to_variant, variant_number
 from ..plans.env import Library
 from ..plans.types import DYN, Type, bare, spark_type
 from .standard import interval, micros, wrapped
@@ -39,7 +39,20 @@ def _n(xs):
     return F.size(xs).cast("bigint")
 
 
-add("@list(A).sort() -> list(A)")(lambda c, xs: F.array_sort(_clean(c, xs)))
+def _variant_keys(xs):
+    """What variants are ordered by: numbers, else texts; NULL if there are others or both."""
+    keys = F.transform(xs, lambda x, i: F.struct(variant_number(x).alias("n"), from_variant(x, Type("string")).alias("s"), i.alias("i")))
+    numbers, texts = F.forall(keys, lambda k: k["n"].isNotNull() & ~F.isnan(k["n"])), F.forall(keys, lambda k: k["s"].isNotNull())
+    return F.when(numbers | texts, keys)
+
+
+def _sorted(c, xs):
+    if _element(c).kind == "dyn":
+        return F.transform(F.array_sort(_variant_keys(xs)), lambda k: F.get(xs, k["i"]))
+    return F.array_sort(_clean(c, xs))
+
+
+add("@list(A).sort() -> list(A)")(_sorted)
 
 
 def _flat(xs, t: Type, depth: int):
@@ -79,7 +92,7 @@ add("@list(A).last() -> optional_type(A)", observes=True)(lambda c, xs: F.when(F
 
 @add("@list(A).isSorted() -> bool")
 def _(c, xs):
-    good = _clean(c, xs)
+    good = F.transform(_variant_keys(xs), lambda k: F.struct(k["n"], k["s"])) if _element(c).kind == "dyn" else _clean(c, xs)
     pairs = F.zip_with(good, F.slice(good, F.lit(2), F.greatest(F.size(good) - 1, F.lit(0))), lambda a, b: b.isNull() | (a <= b))
     return F.forall(pairs, lambda x: x)
 
@@ -97,8 +110,8 @@ def _(c, xs):
     return F.aggregate(xs, zero, lambda a, x: arithmetic("+", a, t, x, t, t))
 
 
-add("@list(A).min() -> A")(lambda c, xs: F.when(F.size(xs) > 0, F.array_min(_clean(c, xs))))
-add("@list(A).max() -> A")(lambda c, xs: F.when(F.size(xs) > 0, F.array_max(_clean(c, xs))))
+add("@list(A).min() -> A")(lambda c, xs: F.when(F.size(xs) > 0, F.get(_sorted(c, xs), 0) if _element(c).kind == "dyn" else F.array_min(_clean(c, xs))))
+add("@list(A).max() -> A")(lambda c, xs: F.when(F.size(xs) > 0, F.get(F.reverse(_sorted(c, xs)), 0) if _element(c).kind == "dyn" else F.array_max(_clean(c, xs))))
 
 
 def _first_at(flags):

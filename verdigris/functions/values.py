@@ -90,7 +90,7 @@ def _message_first(types):
 
 def _has_ext(c, types, columns, literals):
     got = _extension(c, columns[0])
-    return F.lit(False) if got is None else got.isNotNull()
+    return F.when(columns[0].isNotNull(), F.lit(False) if got is None else got.isNotNull())
 
 
 def _get_ext(c, types, columns, literals):

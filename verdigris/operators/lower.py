@@ -181,7 +181,7 @@ def equal(a: Lowered, x: Type, b: Lowered, y: Type) -> Column:
         entries = lambda v: F.array_sort(F.map_entries(v))
         return unless(failed, entries(a.v).eqNullSafe(entries(b.v)))
     nan = None if is_nan_literal_free(a) or is_nan_literal_free(b) else has_nan(a.v, x)
-    if (a.strict or a.sure and is_null_error(x)) and (b.strict or b.sure and is_null_error(y)) and x.kind not in ("list",):
+    if all(p.strict or p.literal is not None for p in (a, b)) and x.kind != "list":
         out = a.v == b.v
     else:
         out = unless(failed, a.v.eqNullSafe(b.v))
@@ -402,13 +402,15 @@ class Lowerer:
 
     def lower_has(self, t: Typed) -> Lowered:
         base, kind, name = self.lower(t.args[0]), t.args[0].type, t.value["field"]
-        v = base.v
-        if kind.kind == "optional":
+        v, lifted = base.v, kind.kind == "optional"
+        if lifted:
             v, kind = v["v"], kind.args[0]
         if kind.kind == "message":
             struct = self.env.all_messages()[kind.name]
             field = v.getField(name)
-            there = field.isNotNull()
+            there = F.when(v.isNotNull(), field.isNotNull())
+            if lifted:
+                there = F.coalesce(there, F.lit(False))
             if self._implicit(kind.name):
                 there = there & ~F.coalesce(is_zero(field, struct[name].dataType), F.lit(False))
             elif isinstance(struct[name].dataType, (T.ArrayType, T.MapType)):
@@ -432,6 +434,8 @@ class Lowerer:
 
     def lower_binary(self, t: Typed) -> Lowered:
         op = t.value
+        if op in ("&&", "||") and (chain := _chain(t, op)) is not None:
+            return Lowered(self._balanced(chain, op), strict=True)
         a, b = self.lower(t.args[0]), self.lower(t.args[1])
         x, y = t.args[0].type, t.args[1].type
         if op in ("&&", "||"):
@@ -447,6 +451,15 @@ class Lowerer:
             return Lowered(self._contains(t, a, b), strict=True)
         return Lowered(arithmetic(op, a.v, x, b.v, y, t.type), strict=True)
 
+    def _balanced(self, parts: list[Typed], op: str) -> Column:
+        """A long chain of logic as a flat tree, so that plans stay shallow."""
+        if len(parts) == 1:
+            v = self.lower(parts[0]).v
+            return from_variant(v, Type("bool")) if parts[0].type.kind == "dyn" else v
+        half = len(parts) // 2
+        a, b = self._balanced(parts[:half], op), self._balanced(parts[half:], op)
+        return a & b if op == "&&" else a | b
+
     def _contains(self, t: Typed, a: Lowered, b: Lowered) -> Column:
         x, y = t.args[0].type, t.args[1].type
         failed = any_failed(a, b)
@@ -633,6 +646,18 @@ class Lowerer:
         return map_from(F.when(~bad, F.transform(items, lambda e: F.struct(results[0](e).v.alias("key"), results[1](e).v.alias("value")))))
 
 
+def _chain(t: Typed, op: str) -> list[Typed] | None:
+    """The operands of a chain of one operator, if it is long."""
+    out, todo = [], [t]
+    while todo:
+        x = todo.pop()
+        if x.op == "binary" and x.value == op:
+            todo += [x.args[1], x.args[0]]
+        else:
+            out.append(x)
+    return out if len(out) > 8 else None
+
+
 @dataclass
 class Context:
     """What a builder may look at besides its columns."""
