@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, written
+from .common import shared_dir, take_worker, written
 
 #: Codebooks, codewords of each, and codes kept while encoding.
 BOOKS, WORDS, BEAM = 8, 256, 4
@@ -119,6 +119,7 @@ def build_index(vectors: DataFrame, path: str, key: str = "vec_id", embedding: s
     shared = rows.sparkSession.sparkContext.broadcast(books)  # books x words x dimensions floats, a constant size
 
     def encode(batches):
+        take_worker("additive_ann")
         for pdf in batches:
             x = np.stack(pdf["vector"].to_list()) if len(pdf) else np.zeros((0, width))
             codes = np.concatenate([shared.value.encode(part, beam) for part in np.array_split(x, max(1, len(x) // 1024))])
@@ -140,6 +141,7 @@ def _search_block(index: DataFrame, books: Codebooks, q_ids: np.ndarray, q: np.n
     shared = spark.sparkContext.broadcast((books, q_ids, q))  # QUERY_BLOCK vectors at most
 
     def search(batches):
+        take_worker("additive_ann")
         books, q_ids, q = shared.value
         tables = lookup_tables(q, books)
         top_score, top_id = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0, np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +33,41 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch; rows are whole texts, so Spark's own default of ten thousand takes much memory.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let workers hold smaller batches of texts, unless the session has limits of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_HOLDER: list[str] = [""]
+_LETTING_GO: list = []
+
+
+def lets_go(clear) -> None:
+    """Register what empties a memory that a worker keeps from task to task."""
+    _LETTING_GO.append(clear)
+
+
+def take_worker(name: str) -> None:
+    """A worker that goes on to another operator lets go of what the last one kept."""
+    if _HOLDER[0] == name:
+        return
+    if _HOLDER[0]:
+        for clear in _LETTING_GO:
+            clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps or returns memory as it likes
+            pass
+    _HOLDER[0] = name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

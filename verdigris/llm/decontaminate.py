@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, take_worker
+
 #: Words that make a window.
 WINDOW = 13
 #: A document is contaminated when at least one word in so many is hit.
@@ -188,6 +190,7 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int):
 def _looker(shared, state: str):
     @F.pandas_udf(state)
     def look(texts: pd.Series) -> pd.DataFrame:
+        take_worker("decontaminate")
         found, names = [], shared.value.items
         for at in range(0, len(texts), 1000):
             found += hits(texts.iloc[at : at + 1000].tolist(), shared.value)
@@ -220,6 +223,7 @@ def find_benchmark(
     docs = docs.drop(*new)
     state = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
     spark = docs.sparkSession
+    bound_batches(spark)
     current = docs.withColumn("__hit", F.lit(None).cast(f"struct<{state.replace('n_words long', 'n_words:bigint').replace('spans array', 'spans:array').replace('items array', 'items:array')}>"))
     for block in blocks_of(benchmark, item, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(test_suffixes(block, window))  # of at most block_bytes of text

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingHash, digest, distinct_texts, join_groups, mix64, parts_by_bytes, shared_dir, shuffle_partitions, text_or_empty, written
+from .common import RollingHash, bound_batches, digest, distinct_texts, join_groups, mix64, parts_by_bytes, shared_dir, shuffle_partitions, take_worker, text_or_empty, written
 from .components import connected_components
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -34,7 +34,7 @@ BINS = 256
 GROUP_MOST = 4096
 #: Further pairs that one member of a group proposes in a round after the first.
 PROPOSALS = 16
-_CHUNK = 1 << 20
+_CHUNK = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -123,6 +123,7 @@ def _bucket_rows(names: list[str], bucket: np.ndarray, *columns: np.ndarray):
 
 def _count_rows(words: int, percent: int, buckets: int):
     def run(batches):
+        take_worker("jaccard_join")
         for batch in batches:
             bodies, ids = batch.column("body").to_pylist(), batch.column("tid").to_numpy()
             for at in range(0, len(bodies), 2000):
@@ -141,6 +142,7 @@ def _count_rows(words: int, percent: int, buckets: int):
 
 def _frequency_rows(buckets: int):
     def run(batches):
+        take_worker("jaccard_join")
         tokens, owners = [], []
         for batch in batches:
             for base, t, o in zip(batch.column("base").to_pylist(), batch.column("token").to_pylist(), batch.column("owner").to_pylist(), strict=True):
@@ -186,6 +188,7 @@ _PROFILE = "digest binary, copies long, n long, keys array<long>, second binary,
 
 def _profile_rows(words: int, percent: int, bins: int):
     def run(batches):
+        take_worker("jaccard_join")
         for batch in batches:
             bodies = batch.column("body").to_pylist()
             shared, often = batch.column("token").to_pylist(), batch.column("times").to_pylist()
@@ -312,6 +315,7 @@ _EDGE = "token long, low int, high int, a binary, b binary"
 
 def _edge_rows(percent: int, first_round: bool, most: int):
     def run(batches):
+        take_worker("jaccard_join")
         out = []
         for rows in _groups(batches):
             rows = rows.reset_index(drop=True)
@@ -402,6 +406,7 @@ def _verified(percent: int):
 
 def _classes(docs: DataFrame, path: str, text: str, words: int, percent: int, group_most: int) -> tuple[DataFrame, DataFrame]:
     """(stored texts, (digest, copies, n, label)): label is the least digest of the text's component."""
+    bound_batches(docs.sparkSession)
     texts = distinct_texts(docs, f"{path}/texts", text)
     found = profiles(texts, path, words, percent)
     _, parts = similar_links(found.filter(F.col("keys").isNotNull()), path, percent, group_most)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts_by_bytes
+from .common import bound_batches, parts_by_bytes, take_worker
 
 #: Bounds of the training sample: rows of each language, and of all.
 ROWS_PER_LANGUAGE = 300
@@ -168,10 +168,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", least_margin: fl
     """
     new = ("lang_pred", "lang_score", "lang_ambiguous")
     docs = docs.drop(*new)
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x bits floats, a constant size
 
     @F.pandas_udf("lang_pred string, lang_score double, lang_ambiguous boolean")
     def predict(lettered: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        take_worker("language_id")
         m, n = shared.value, len(texts)
         names, score, doubt = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n, bool)
         if m.languages:

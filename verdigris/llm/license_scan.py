@@ -13,6 +13,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import bound_batches, take_worker
+
 #: Phrases whose exact places are counted, with their labels; fixed values.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -126,7 +128,10 @@ def scan_licenses(
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     schema = T.StructType([T.StructField("key", kind), *T._parse_datatype_string(_COLUMNS).fields])
 
+    bound_batches(docs.sparkSession)
+
     def scan(batches):
+        take_worker("license_scan")
         for pdf in batches:
             found = [scan_text(t, notices, phrases, chars_per_edit) for t in pdf["text"]]
             out = {"key": pdf["key"].to_numpy()}

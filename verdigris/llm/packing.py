@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bound_batches, take_worker
 from .tokens import encoder
 
 #: Tokens of a window, of a piece at most, and of the pieces packed together at least.
@@ -121,7 +122,10 @@ def pack_documents(
 
     dtype = np.dtype("<u2")
 
+    bound_batches(docs.sparkSession)
+
     def run(batches):
+        take_worker("packing")
         nonlocal dtype
         enc = encoder(tokenizer, spaces_kept)
         dtype = enc.dtype

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingHash, digest, distinct_texts, join_groups, parts_by_bytes, shared_dir, shuffle_partitions, text_or_empty, written
+from .common import RollingHash, bound_batches, digest, distinct_texts, join_groups, parts_by_bytes, shared_dir, shuffle_partitions, take_worker, text_or_empty, written
 
 #: Bytes of a repeated string, and of the grams that windows pick.
 LENGTH, GRAM = 400, 64
@@ -40,7 +40,7 @@ LENGTH, GRAM = 400, 64
 GROUP_MOST, TASK_CONTEXTS = 20_000, 20_000
 #: Contexts in a batch of the index.
 BATCH = 4096
-_CHUNK = 1 << 20
+_CHUNK = 1_000_000
 
 
 def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -95,6 +95,7 @@ _ANCHOR = "gram long, context long, digest binary, least int, largest int, at ar
 
 def _anchor_rows(length: int, gram: int):
     def run(batches):
+        take_worker("suffix_dedup")
         for batch in batches:
             texts, digests = batch.column("body").to_pylist(), batch.column("digest")
             for part in parts_by_bytes(np.array([len(t) for t in texts], np.int64), _CHUNK):
@@ -197,6 +198,7 @@ _SPANS = "digest binary, low int, high int"
 
 def _index_rows(length: int, gram: int):
     def run(batches):
+        take_worker("suffix_dedup")
         index, digests, ats, whole = SuffixIndex(length, gram), [], [], []
         for pdf in batches:
             for low in range(0, len(pdf), BATCH):
@@ -217,6 +219,7 @@ def _split_rows(low: int, high: int, length: int):
     """Members of offsets low to high go on in two halves, by a hash of the bytes that all windows of a half share."""
 
     def run(batches):
+        take_worker("suffix_dedup")
         for pdf in batches:
             out = []
             for m in pdf.itertuples(index=False):
@@ -305,6 +308,7 @@ def repeated_spans(texts: DataFrame, path: str, length: int = LENGTH, gram: int
 
 @F.pandas_udf(T.StructType().add("n_removed", "long").add("n_spans", "long").add("kept", "binary"))
 def _without(body: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
+    take_worker("suffix_dedup")
     out = []
     for b, low, high in zip(body, lows, highs, strict=True):
         if b is None:
@@ -328,6 +332,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
     columns stay, those of the new names are replaced.  An empty table gives no rows.
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
+    bound_batches(spark)
     texts = distinct_texts(docs, f"{path}/texts", text)
     spans = repeated_spans(texts, path, length, gram, group_most)
     # spans of a text are bounded by its length

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingHash, parts_by_bytes, shared_dir, shuffle_partitions
+from .common import RollingHash, bound_batches, lets_go, parts_by_bytes, shared_dir, shuffle_partitions, take_worker
 
 #: Ids of one block, at least; memory of a writing task is bounded by this and one document.
 BLOCK_IDS = 1 << 20
@@ -33,7 +33,7 @@ _AT_ONCE = 64
 #: Marks that may follow a word; an apostrophe may be part of one.
 _MARKS = ".,;:!?*#&%$@|()\"-\n"
 #: Bytes of text that are cut into pieces at once.
-_CHUNK = 1 << 21
+_CHUNK = 2_000_000
 #: ASCII white space, as any library sees it, and the bytes that other white space begins with.
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
@@ -196,6 +196,9 @@ def encoder(path: str, spaces_kept: bool) -> PieceEncoder:
     return PieceEncoder(path, spaces_kept)
 
 
+lets_go(encoder.cache_clear)
+
+
 def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
@@ -270,7 +273,10 @@ def write_token_files(
     ordered = ordered.repartitionByRange(shuffle_partitions(spark), F.col("key").asc_nulls_first(), "mark").sortWithinPartitions(F.col("key").asc_nulls_first(), "mark", "text").drop("mark")
     schema = T._parse_datatype_string(_BLOCK.format(key=kind.simpleString()))
 
+    bound_batches(spark)
+
     def blocks(batches):
+        take_worker("tokens")
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         enc = encoder(tokenizer, spaces_kept)
         end = np.array([end_id], enc.dtype).tobytes()
