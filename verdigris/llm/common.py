@@ -68,6 +68,18 @@ def take_worker(name: str) -> None:
     _HOLDER[0] = name
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any file system that Spark writes to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles are over, so that their files go; they stay until it collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

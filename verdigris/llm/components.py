@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -37,8 +37,11 @@ def connected_components(links: DataFrame, path: str) -> DataFrame:
     """
     edges = written(links.select("a", "b").filter("a <> b").distinct(), f"{path}/round0")
     before, n = None, 0
+    spark = links.sparkSession
     while True:
         n += 1
+        if n > 1:
+            remove(spark, f"{path}/round{n - 2}")
         edges = written(_small_star(_large_star(edges).distinct()).distinct(), f"{path}/round{n}")
         # done when every edge is a star's: equal edges give equal sums
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())

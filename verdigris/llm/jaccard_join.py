@@ -21,20 +21,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import RollingHash, bound_batches, digest, distinct_texts, join_groups, mix64, parts_by_bytes, shared_dir, shuffle_partitions, take_worker, text_or_empty, written
+from .common import RollingHash, bound_batches, digest, distinct_texts, join_groups, mix64, parts_by_bytes, remove, shared_dir, shuffle_partitions, take_worker, text_or_empty, tidy, written
 from .components import connected_components
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 80
-#: Bins of a token histogram.
-BINS = 256
+#: Bins of a token histogram for each token of a set, and their least and largest number.
+BINS_PER_TOKEN, BINS_LEAST, BINS_MOST = 2, 256, 16384
+#: Bits that mark the prefix tokens of a further order.
+MARKS = 1024
 #: Members of a group in one task; larger groups are compared block by block.
 GROUP_MOST = 4096
 #: Further pairs that one member of a group proposes in a round after the first.
 PROPOSALS = 16
-_CHUNK = 1_000_000
+_CHUNK = 250_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -183,10 +184,26 @@ def _owner_rows(batches):
             )
 
 
-_PROFILE = "digest binary, copies long, n long, keys array<long>, second binary, third binary, bins binary, shingles binary"
+_PROFILE = "digest binary, copies long, n long, keys array<long>, second binary, third binary, bins binary, shingles array<long>"
 
 
-def _profile_rows(words: int, percent: int, bins: int):
+def histogram(shingles: np.ndarray, bins: int) -> np.ndarray:
+    """Tokens by their last bits; what is over 255 is cut, which brings two histograms nearer, never apart."""
+    return np.minimum(np.bincount((shingles % np.uint64(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+
+
+def bins_for(n: int) -> int:
+    return min(BINS_MOST, max(BINS_LEAST, 1 << max(0, BINS_PER_TOKEN * n - 1).bit_length()))
+
+
+def marks(tokens: np.ndarray) -> bytes:
+    """A bit for each token; sets that share a token share a bit."""
+    bits = np.zeros(MARKS, bool)
+    bits[(tokens * np.uint32(0x9E3779B1)) >> np.uint32(32 - MARKS.bit_length() + 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _profile_rows(words: int, percent: int, bins_of):
     def run(batches):
         take_worker("jaccard_join")
         for batch in batches:
@@ -206,12 +223,12 @@ def _profile_rows(words: int, percent: int, bins: int):
                     if found is None:
                         continue
                     out["keys"][i] = found[0].astype(np.int64)
-                    out["second"][i], out["third"][i] = found[1].tobytes(), found[2].tobytes()
-                    out["bins"][i] = np.minimum(np.bincount((s % np.uint64(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
-                    out["shingles"][i] = s.tobytes()
+                    out["second"][i], out["third"][i] = marks(found[1]), marks(found[2])
+                    out["bins"][i] = histogram(s, bins_of(len(s))).tobytes()
+                    out["shingles"][i] = s.view(np.int64)
                 part = batch.slice(at, len(sets))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("digest"), part.column("copies"), pa.array([len(s) for s in sets], pa.int64()), pa.array(out["keys"], pa.list_(pa.int64())), *[pa.array(out[k], pa.binary()) for k in ("second", "third", "bins", "shingles")]],
+                    [part.column("digest"), part.column("copies"), pa.array([len(s) for s in sets], pa.int64()), pa.array(out["keys"], pa.list_(pa.int64())), *[pa.array(out[k], pa.binary()) for k in ("second", "third", "bins")], pa.array(out["shingles"], pa.list_(pa.int64()))],
                     ["digest", "copies", "n", "keys", "second", "third", "bins", "shingles"],
                 )
 
@@ -228,7 +245,7 @@ def profiles(texts: DataFrame, path: str, words: int, percent: int) -> DataFrame
     by_text = again.mapInArrow(_owner_rows, "tid long, token binary, times binary")
     named = by_text.join(texts.select("tid", "digest"), "tid").drop("tid")
     joined = texts.select("digest", "copies", F.col("text").cast("binary").alias("body")).join(named.hint("shuffle_hash"), "digest", "left")
-    return written(joined.mapInArrow(_profile_rows(words, percent, BINS), _PROFILE), f"{path}/profiles")
+    return written(joined.mapInArrow(_profile_rows(words, percent, bins_for), _PROFILE), f"{path}/profiles")
 
 
 # ---- candidates -------------------------------------------------------------------------------------
@@ -240,18 +257,28 @@ class Group:
     def __init__(self, rows: pd.DataFrame, percent: int):
         self.percent = percent
         self.n = rows["n"].to_numpy(np.int64)
-        self.bins = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(len(rows), -1).astype(np.int16)
-        self.rows = rows
-        self.orders: dict[int, tuple[frozenset, frozenset]] = {}
-
-    def _prefixes(self, i: int) -> tuple[frozenset, frozenset]:
-        if i not in self.orders:
-            r = self.rows
-            self.orders[i] = tuple(frozenset(np.frombuffer(r[c].iat[i], np.uint32).tolist()) for c in ("second", "third"))
-        return self.orders[i]
+        self.marks = [np.frombuffer(b"".join(rows[c]), np.uint8).reshape(len(rows), -1) for c in ("second", "third")]
+        self.width = rows["bins"].map(len).to_numpy(np.int64)
+        self.place, self.bins = np.zeros(len(rows), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.bins[w] = np.frombuffer(b"".join(rows["bins"].iloc[at]), np.uint8).reshape(len(at), w)
 
     def distances(self, i: int, others: np.ndarray) -> np.ndarray:
-        return np.abs(self.bins[others] - self.bins[i]).sum(1, dtype=np.int64)
+        """How many tokens i and each of others have apart, at least: histograms of unlike width are folded."""
+        out, own = np.zeros(len(others), np.int64), self.bins[self.width[i]][self.place[i]].astype(np.int16)[None]
+        for w, table in self.bins.items():
+            at = np.flatnonzero(self.width[others] == w)
+            for low in range(0, len(at), 512):
+                some = at[low : low + 512]
+                theirs, mine = table[self.place[others[some]]].astype(np.int16), own
+                while theirs.shape[1] > mine.shape[1]:
+                    theirs = theirs[:, : theirs.shape[1] // 2] + theirs[:, theirs.shape[1] // 2 :]
+                while mine.shape[1] > theirs.shape[1]:
+                    mine = mine[:, : mine.shape[1] // 2] + mine[:, mine.shape[1] // 2 :]
+                out[some] = np.abs(theirs - mine).sum(1, dtype=np.int64)
+        return out
 
     def passing(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of others that all filters let pass with i, nearest first."""
@@ -260,12 +287,11 @@ class Group:
         others = others[fits]
         if not len(others):
             return others
+        for m in self.marks:
+            others = others[(m[others] & m[i]).any(1)]
         apart = self.distances(i, others)
         near = (100 + self.percent) * apart <= (100 - self.percent) * (n + self.n[others])
         others, apart = others[near], apart[near]
-        mine = self._prefixes(i)
-        keep = [not any(a.isdisjoint(b) for a, b in zip(mine, self._prefixes(int(j)), strict=True)) for j in others]
-        others, apart = others[keep], apart[keep]
         return others[np.argsort(apart, kind="stable")]
 
     def tree(self) -> list[tuple[int, int]]:
@@ -377,8 +403,10 @@ def similar_links(some: DataFrame, path: str, percent: int, group_most: int = GR
         pairs = edges.select("a", "b").distinct()
         left, right = (sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns]) for s in ("a", "b"))
         tried = pairs.join(left, F.col("a") == F.col("digest_a")).join(right, F.col("b") == F.col("digest_b"))
-        same = tried.select("a", "b", _verified(percent)("shingles_a", "shingles_b").alias("similar"))
+        both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        same = tried.select("a", "b", (100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).alias("similar"))
         same = written(same, f"{path}/verified{round_}")
+        tidy(spark)
         good, bad = same.filter("similar").select("a", "b"), same.filter("not similar").select("a", "b")
         links = good if links is None else links.unionByName(good)
         if bad.isEmpty():
@@ -387,28 +415,18 @@ def similar_links(some: DataFrame, path: str, percent: int, group_most: int = GR
         # groups in which a pair failed may hold another that joins its components
         failed = edges.join(bad, ["a", "b"], "left_semi").select("token", "low", "high").distinct()
         tokens = written(tokens.join(failed, ["token", "low", "high"], "left_semi"), f"{path}/members{round_}")
+        remove(spark, f"{path}/members{round_ - 1}" if round_ > 1 else f"{path}/members")
+        remove(spark, f"{path}/edges{round_}")
         labels = connected_components(links, f"{path}/labels{round_}")
     return links, connected_components(links, f"{path}/labels")
 
 
-def _verified(percent: int):
-    @F.pandas_udf(T.BooleanType())
-    def same(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(left, right, strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
-
-    return same
-
-
 def _classes(docs: DataFrame, path: str, text: str, words: int, percent: int, group_most: int) -> tuple[DataFrame, DataFrame]:
     """(stored texts, (digest, copies, n, label)): label is the least digest of the text's component."""
     bound_batches(docs.sparkSession)
     texts = distinct_texts(docs, f"{path}/texts", text)
     found = profiles(texts, path, words, percent)
+    tidy(docs.sparkSession)
     _, parts = similar_links(found.filter(F.col("keys").isNotNull()), path, percent, group_most)
     known = found.select("digest", "copies", "n")
     if parts is None:
@@ -435,12 +453,13 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ke
     return out.select(key, "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", group_most: int = GROUP_MOST, path: str | None = None) -> DataFrame:
     """One row of each component, that with the least key, and every row without words; the columns of docs.
 
     Of repeated rows with the least key one stays.  Columns must be of types that can be ordered.
+    path: a folder for tables that the result reads, which may go once the result is written.
     """
-    path = shared_dir(docs.sparkSession)
+    path = path or shared_dir(docs.sparkSession)
     texts, classes = _classes(docs, path, text, words, percent, group_most)
     others = [c for c in docs.columns if c not in (key, text)]
     # the least row of each text, without its text

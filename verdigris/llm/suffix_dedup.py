@@ -40,7 +40,7 @@ LENGTH, GRAM = 400, 64
 GROUP_MOST, TASK_CONTEXTS = 20_000, 20_000
 #: Contexts in a batch of the index.
 BATCH = 4096
-_CHUNK = 1_000_000
+_CHUNK = 250_000
 
 
 def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -323,15 +323,17 @@ def _without(body: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame
     return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", group_most: int = GROUP_MOST, path: str | None = None) -> DataFrame:
     """Add n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) to every row, without its text.
 
     Every byte goes that a string of `length` bytes covers which starts anywhere else, in the same text
     or another; strings are judged on the input.  Null texts are empty.  A text that occurs in several
     rows is removed whole from each if it has `length` bytes.  Texts shorter than that stay.  Other
     columns stay, those of the new names are replaced.  An empty table gives no rows.
+    path: a folder for tables that the result reads, which may go once the result is written.
     """
-    spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    path = path or shared_dir(spark)
     bound_batches(spark)
     texts = distinct_texts(docs, f"{path}/texts", text)
     spans = repeated_spans(texts, path, length, gram, group_most)

@@ -33,7 +33,7 @@ _AT_ONCE = 64
 #: Marks that may follow a word; an apostrophe may be part of one.
 _MARKS = ".,;:!?*#&%$@|()\"-\n"
 #: Bytes of text that are cut into pieces at once.
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 #: ASCII white space, as any library sees it, and the bytes that other white space begins with.
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
