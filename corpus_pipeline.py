@@ -1,7 +1,8 @@
 """From raw documents to packed training windows, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-`documents`.  Between stages the rows are written as Parquet and read again.
+`documents`.  Between stages the rows are written as Parquet and read again; a stage may delete what
+earlier ones left in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,7 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import decontaminate, jaccard_join, language_id, packing, suffix_dedup
-from verdigris.llm.common import shared_dir, table, written
+from verdigris.llm.common import remove, shared_dir, table, written
+
+_LEFT: list[str] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder for a stage's tables.  Those of earlier stages go, as what they led to is written by now."""
+    _clear(spark)
+    _LEFT.append(shared_dir(spark))
+    return _LEFT[-1]
+
+
+def _clear(spark: SparkSession) -> None:
+    while _LEFT:
+        remove(spark, _LEFT.pop())
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of those whose five-word shingles agree to four fifths."""
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, path=_folder(spark))
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +45,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A character that is cut in two goes whole; n_chars counts what is left.
     """
-    kept = suffix_dedup.remove_repeated(docs)
+    kept = suffix_dedup.remove_repeated(docs, path=_folder(spark))
     kept = kept.filter((F.col("n_removed") == 0) | (F.octet_length("kept") > 0))
     text = F.when(F.col("n_removed") > 0, _readable(F.col("kept"))).otherwise(F.col("kept").cast("string"))
     kept = kept.withColumn("text", text)
@@ -44,6 +59,7 @@ def _readable(body):
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with passages of the benchmark."""
+    _clear(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
