@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, decontaminate, jaccard_join, language_id, license_scan, packing, sharding, suffix_dedup, tokens, url_reputation
+from . import additive_ann, decontaminate, jaccard_join, language_id, license_scan, oracles, packing, sharding, suffix_dedup, tokens, url_reputation
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": oracles.URL_FILTER, "op8_decontaminate": oracles.DECONTAMINATE}
