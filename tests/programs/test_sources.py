@@ -105,3 +105,16 @@ def test_tracking_and_strict_mode(spark):
     assert rows[0]["nodes"]["10 / i"] == "10" and rows[1]["nodes"]["10 / i"] is None
     with pytest.raises(Exception, match="program failed"):
         Env.from_schema(df.schema, ALL).compile("10 / i").strict(df, "v").collect()
+
+
+def test_unchecked_programs_and_observed_counts(spark):
+    from pyspark.sql import Observation
+
+    env = Env({}, ALL)
+    value = lambda t: spark.range(1).select(env.compile(t, checked=False).column()).first()[0]
+    assert value("nope(1) == 1 || true") is True
+    assert value("1 + 'a' == 1 && true") is None
+    df = spark.createDataFrame([(1,), (0,), (4,)], "i long")
+    seen = Observation()
+    Env.from_schema(df.schema, ALL).compile("10 / i > 3").observed(df, seen).collect()
+    assert seen.get == {"rows": 3, "failed": 1, "true": 1}

@@ -309,6 +309,9 @@ class Lowerer:
     def lower_const(self, t: Typed) -> Lowered:
         return Lowered(literal(t.value, t.type), sure=True, literal=t.value)
 
+    def lower_error(self, t: Typed) -> Lowered:
+        return Lowered(F.lit(None).cast(T.VariantType()), strict=True)
+
     def lower_column(self, t: Typed) -> Lowered:
         if t.value in self.columns:
             v = self.columns[t.value]

@@ -41,18 +41,18 @@ class BudgetExceeded(ValueError):
 
 
 class Program:
-    """A checked program over an environment."""
+    """A program over an environment.  checked=False: what does not check fails only when it runs."""
 
     def __init__(self, env: Env, text: str, checked: bool = True, optimize: bool = True):
         from .fold import fold
 
         self.env, self.text = env, text
         self.tree = S.parse(text)
-        self.typed: Typed = Checker(env, text).check(self.tree)
+        self.typed: Typed = Checker(env, text, lenient=not checked).check(self.tree)
         if optimize:
             folded = fold(self.tree, env)
             if folded is not self.tree:
-                again = Checker(env, text).check(folded)
+                again = Checker(env, text, lenient=not checked).check(folded)
                 # folding may make a type narrower; what was declared stays
                 if again.type == self.typed.type:
                     self.typed, self.folded = again, folded
@@ -120,6 +120,13 @@ class Program:
             got = got.withColumn(trace, F.struct(*nodes))
         return got
 
+    def observed(self, df: DataFrame, observation) -> DataFrame:
+        """df, whose next action fills a pyspark Observation with rows, failed and, for bool, true."""
+        counts = [F.count(F.lit(1)).alias("rows"), F.count_if(self.failed()).alias("failed")]
+        if self.type.kind == "bool":
+            counts.append(F.count_if(self.column()).alias("true"))
+        return df.observe(observation, *counts)
+
     def strict(self, df: DataFrame, name: str) -> DataFrame:
         """df with the value; the query fails if the program does on any row."""
         return df.withColumn(name, F.when(self.failed(), F.raise_error(F.lit(f"program failed: {self.text}")).cast(spark_type(self.type, self.env.all_messages()))).otherwise(self.column()))
