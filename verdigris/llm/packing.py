@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import bound_batches, take_worker
-from .tokens import encoder
+from .tokens import TEXTS, encoder
 
 #: Tokens of a window, of a piece at most, and of the pieces packed together at least.
 CAPACITY = 2048
@@ -148,8 +148,8 @@ def pack_documents(
 
         for pdf in batches:
             keys, texts = pdf["key"].astype(object).where(pdf["key"].notna(), None).tolist(), pdf["text"].tolist()
-            for low in range(0, len(texts), 256):
-                for name, data in zip(keys[low : low + 256], enc.encode(texts[low : low + 256]), strict=True):
+            for low in range(0, len(texts), TEXTS):
+                for name, data in zip(keys[low : low + TEXTS], enc.encode(texts[low : low + TEXTS]), strict=True):
                     data += end
                     n = len(data) // width
                     for at, length in cut(n, capacity, piece):

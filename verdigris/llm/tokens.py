@@ -32,8 +32,10 @@ _AT_ONCE = 64
 
 #: Marks that may follow a word; an apostrophe may be part of one.
 _MARKS = ".,;:!?*#&%$@|()\"-\n"
+#: Texts that are encoded in one call.
+TEXTS = 1000
 #: Bytes of text that are cut into pieces at once.
-_CHUNK = 1_000_000
+_CHUNK = 1_500_000
 #: ASCII white space, as any library sees it, and the bytes that other white space begins with.
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
@@ -157,7 +159,9 @@ class PieceEncoder:
         data = np.frombuffer(joined, np.uint8)
         ends = np.cumsum([len(t) for t in texts])
         starts, stops = self._cut(data, ends - np.array([len(t) for t in texts]))
-        _, where, which = np.unique(RollingHash(data).slices(starts, stops), return_index=True, return_inverse=True)
+        which, _ = pd.factorize(RollingHash(data).slices(starts, stops))
+        # numbers are given in order of appearance, so a new one is one more than all before
+        where = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
         pieces = [joined[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist(), strict=True)]
         ids = list(map(self.known.get, pieces))
         if new := [p for p, i in zip(pieces, ids, strict=True) if i is None]:
@@ -292,8 +296,8 @@ def write_token_files(
 
         for pdf in batches:
             ids_of, texts = pdf["key"].astype(object).where(pdf["key"].notna(), None).tolist(), pdf["text"].tolist()
-            for low in range(0, len(texts), 256):
-                for k, data in zip(ids_of[low : low + 256], enc.encode(texts[low : low + 256]), strict=True):
+            for low in range(0, len(texts), TEXTS):
+                for k, data in zip(ids_of[low : low + TEXTS], enc.encode(texts[low : low + TEXTS]), strict=True):
                     held += (data, end)
                     keys.append(k)
                     lengths.append(len(data) // enc.dtype.itemsize + 1)
