@@ -30,6 +30,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b")
 
 
+def near_components(links: DataFrame) -> DataFrame:
+    """(node, component) after one round: nodes of one component are connected, those of two may be too."""
+    edges = _small_star(_large_star(links.select("a", "b").filter("a <> b").distinct()).distinct())
+    stars = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()).groupBy("node").agg(F.min("component").alias("component"))
+
+
 def connected_components(links: DataFrame, path: str) -> DataFrame:
     """(node, component) of every node of links (a, b), whose types can be ordered; component is its least node.
 

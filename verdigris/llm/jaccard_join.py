@@ -9,9 +9,11 @@ further tokens by hash.  Tokens of one set alone cannot be shared and drop out.
 
 Sets that share a prefix token of the first order meet.  Of each group, pairs pass that also share a
 prefix token of the other orders and whose token histograms are near enough, which never refuses a
-similar pair.  Only a spanning tree of these pairs is verified with the full sets; where a tree edge
-fails, other pairs of its group that still could join two components follow.  So no link between
-components is lost, and a group of many copies costs a tree, not all its pairs.
+similar pair.  Only a spanning tree of these pairs is verified with the full sets.  Where a tree edge
+fails, the members that lie outside their group's main component propose their nearest other pairs.
+Groups in which one of these fails too, or that had more to propose, come together a last time with the
+full sets, and all passing pairs between components are verified until these have joined or none is
+left.  So no link between components is lost, and a group of many copies costs a tree, not all its pairs.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, bound_batches, digest, distinct_texts, join_groups, mix64, parts_by_bytes, remove, shared_dir, shuffle_partitions, take_worker, text_or_empty, tidy, written
-from .components import connected_components
+from .common import RollingHash, bound_batches, digest, distinct_texts, join_groups, mix64, parts_by_bytes, shared_dir, shuffle_partitions, take_worker, text_or_empty, tidy, written
+from .components import connected_components, near_components
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 80
@@ -32,8 +34,8 @@ BINS_PER_TOKEN, BINS_LEAST, BINS_MOST = 2, 256, 16384
 #: Bits that mark the prefix tokens of a further order.
 MARKS = 1024
 #: Members of a group in one task; larger groups are compared block by block.
-GROUP_MOST = 4096
-#: Further pairs that one member of a group proposes in a round after the first.
+GROUP_MOST = 2048
+#: Further pairs that one member of a group proposes.
 PROPOSALS = 16
 _CHUNK = 250_000
 
@@ -308,15 +310,33 @@ class Group:
                     left = left[~np.isin(left, found)]
         return out
 
-    def further(self, label: np.ndarray, refused: set[tuple[int, int]], most: int) -> list[tuple[int, int]]:
-        """Passing pairs between components, not refused before, at most `most` for each member outside the largest component."""
-        names, at, size = np.unique(label, return_inverse=True, return_counts=True)
-        main, out = int(size.argmax()), []
-        everyone = np.arange(len(self.n))
-        for i in np.flatnonzero(at != main).tolist():
-            others = everyone[(at != at[i]) & ((at == main) | (everyone > i))]
-            found = [int(j) for j in self.passing(i, others) if (i, int(j)) not in refused and (int(j), i) not in refused]
-            out += [(i, j) for j in found[:most]]
+    def further(self, label: list, most: int) -> tuple[list[tuple[int, int]], bool]:
+        """Passing pairs between components, `most` for each member outside the main one at most; whether there are more."""
+        names: dict = {}
+        part = np.array([names.setdefault(x, len(names)) for x in label])
+        out, everyone, more = [], np.arange(len(self.n)), False
+        main = int(np.bincount(part).argmax())
+        for i in np.flatnonzero(part != main).tolist():
+            found = self.passing(i, everyone[(part != part[i]) & ((part == main) | (everyone > i))])
+            more |= len(found) > most
+            out += [(i, int(j)) for j in found[:most]]
+        return out, more
+
+    def joining(self, label: list, shingles: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Verified links that join components, given by label: in the end no similar pair lies in two components."""
+        names: dict = {}
+        part = np.array([names.setdefault(x, len(names)) for x in label])
+        out, everyone = [], np.arange(len(self.n))
+        main = int(np.bincount(part).argmax())
+        for i in np.flatnonzero(part != main).tolist():
+            for j in self.passing(i, everyone[part != part[i]]).tolist():
+                if part[j] == part[i]:
+                    continue
+                a, b = shingles[i], shingles[j]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= self.percent * (len(a) + len(b) - both):
+                    out.append((i, j))
+                    part[part == part[j]] = part[i]
         return out
 
 
@@ -336,31 +356,33 @@ def _groups(batches):
         yield held
 
 
-_EDGE = "token long, low int, high int, a binary, b binary"
+_EDGE = "token long, low int, high int, a binary, b binary, more boolean"
 
 
-def _edge_rows(percent: int, first_round: bool, most: int):
+def _edge_rows(percent: int, kind: str, most: int):
+    """Edges of each group: `tree` of passing pairs, `further` pairs, or verified links `joining` components."""
+
     def run(batches):
         take_worker("jaccard_join")
-        out = []
+        out, columns = [], ["token", "low", "high", "a", "b", "more"]
         for rows in _groups(batches):
             rows = rows.reset_index(drop=True)
             if len(rows) < 2:
                 continue
-            group, names = Group(rows, percent), rows["digest"].tolist()
-            if first_round:
+            group, names, more = Group(rows, percent), rows["digest"].tolist(), False
+            if kind == "tree":
                 edges = group.tree()
+            elif kind == "further":
+                edges, more = group.further(rows["label"].tolist(), most)
             else:
-                place = {d: i for i, d in enumerate(names)}
-                refused = {(i, place[p]) for i, ps in enumerate(rows["refused"]) if ps is not None for p in ps if p in place}
-                edges = group.further(rows["label"].to_numpy(), refused, most)
+                edges = group.joining(rows["label"].tolist(), rows["shingles"].tolist())
             head = rows.iloc[0]
-            out += [(head["token"], head["low"], head["high"], names[i], names[j]) for i, j in edges]
+            out += [(head["token"], head["low"], head["high"], names[i], names[j], more) for i, j in edges]
             if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=["token", "low", "high", "a", "b"])
+                yield pd.DataFrame(out, columns=columns)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=["token", "low", "high", "a", "b"])
+            yield pd.DataFrame(out, columns=columns)
 
     return run
 
@@ -380,45 +402,47 @@ def _memberships(some: DataFrame, group_most: int) -> DataFrame:
     return member.filter("size <= %d or mine <> other" % group_most).select("token", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "digest")
 
 
-def similar_links(some: DataFrame, path: str, percent: int, group_most: int = GROUP_MOST) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links, components) of the profiles that may have similar sets; links span every component."""
+def similar_links(some: DataFrame, path: str, percent: int, group_most: int = GROUP_MOST) -> DataFrame | None:
+    """(node, component) of the profiles that are similar to others; None if there can be none."""
     spark = some.sparkSession
     member = written(_memberships(some, group_most), f"{path}/members")
     if member.isEmpty():
-        return None, None
-    facts = some.select("digest", "n", "second", "third", "bins")
+        return None
+    parts, group = shuffle_partitions(spark), ["token", "low", "high"]
+    facts = ["digest", "n", "second", "third", "bins"]
     sets = some.select("digest", "n", "shingles")
-    parts = shuffle_partitions(spark)
-    links = refused = None
-    tokens, round_ = member, 0
-    while True:
-        round_ += 1
-        rows = tokens.join(facts, "digest")
-        if round_ > 1:
-            rows = rows.join(labels, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("component", "digest")).drop("node", "component")  # noqa: F821
-            per = refused.groupBy(F.col("b").alias("digest")).agg(F.collect_set("a").alias("refused"))
-            rows = rows.join(per, "digest", "left")
-        edges = rows.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "digest").mapInPandas(_edge_rows(percent, round_ == 1, PROPOSALS), _EDGE)
-        edges = written(edges, f"{path}/edges{round_}")
-        pairs = edges.select("a", "b").distinct()
-        left, right = (sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns]) for s in ("a", "b"))
-        tried = pairs.join(left, F.col("a") == F.col("digest_a")).join(right, F.col("b") == F.col("digest_b"))
+    left, right = (sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns]) for s in ("a", "b"))
+
+    def edges_of(rows: DataFrame, kind: str) -> DataFrame:
+        ordered = rows.repartition(parts, *group).sortWithinPartitions(*group, "n", "digest")
+        return written(ordered.mapInPandas(_edge_rows(percent, kind, PROPOSALS), _EDGE), f"{path}/{kind}")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        tried = pairs.select("a", "b").distinct().join(left, F.col("a") == F.col("digest_a")).join(right, F.col("b") == F.col("digest_b"))
         both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        same = tried.select("a", "b", (100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).alias("similar"))
-        same = written(same, f"{path}/verified{round_}")
+        same = written(tried.select("a", "b", (100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).alias("similar")), f"{path}/{name}")
+        tidy(spark)
+        return same
+
+    def labelled(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Rows with a label; nodes of one label are connected, those of two may be."""
+        label = written(near_components(links), f"{path}/{name}")
+        return rows.join(label, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("component", "digest")).drop("node", "component")
+
+    tree = edges_of(member.join(some.select(*facts), "digest"), "tree")
+    same = verified(tree, "verified1")
+    links, bad = same.filter("similar").select("a", "b"), same.filter("not similar").select("a", "b")
+    if not bad.isEmpty():
+        # groups in which a tree edge failed may hold other links between their components
+        failed = written(member.join(tree.join(bad, ["a", "b"], "left_semi").select(*group).distinct(), group, "left_semi"), f"{path}/failed")
+        further = edges_of(labelled(failed.join(some.select(*facts), "digest"), links, "labels1"), "further")
+        same = verified(further, "verified2")
+        links, bad = links.unionByName(same.filter("similar").select("a", "b")), same.filter("not similar").select("a", "b")
+        still = further.join(bad, ["a", "b"], "left_semi").select(*group).unionByName(further.filter("more").select(*group)).distinct()
+        rows = failed.join(still, group, "left_semi").join(some.select(*facts, "shingles"), "digest")
+        links = links.unionByName(edges_of(labelled(rows, links, "labels2"), "joining").select("a", "b"))
         tidy(spark)
-        good, bad = same.filter("similar").select("a", "b"), same.filter("not similar").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        if bad.isEmpty():
-            break
-        refused = bad if refused is None else refused.unionByName(bad)
-        # groups in which a pair failed may hold another that joins its components
-        failed = edges.join(bad, ["a", "b"], "left_semi").select("token", "low", "high").distinct()
-        tokens = written(tokens.join(failed, ["token", "low", "high"], "left_semi"), f"{path}/members{round_}")
-        remove(spark, f"{path}/members{round_ - 1}" if round_ > 1 else f"{path}/members")
-        remove(spark, f"{path}/edges{round_}")
-        labels = connected_components(links, f"{path}/labels{round_}")
-    return links, connected_components(links, f"{path}/labels")
+    return connected_components(links, f"{path}/labels")
 
 
 def _classes(docs: DataFrame, path: str, text: str, words: int, percent: int, group_most: int) -> tuple[DataFrame, DataFrame]:
@@ -427,7 +451,7 @@ def _classes(docs: DataFrame, path: str, text: str, words: int, percent: int, gr
     texts = distinct_texts(docs, f"{path}/texts", text)
     found = profiles(texts, path, words, percent)
     tidy(docs.sparkSession)
-    _, parts = similar_links(found.filter(F.col("keys").isNotNull()), path, percent, group_most)
+    parts = similar_links(found.filter(F.col("keys").isNotNull()), path, percent, group_most)
     known = found.select("digest", "copies", "n")
     if parts is None:
         return texts, known.withColumn("label", F.col("digest"))
