@@ -37,7 +37,7 @@ def test_equals_brute_force(spark, words, percent, group_most):
 
 def test_failed_pairs_are_followed_up(spark, monkeypatch):
     # a histogram of one bin lets nearly every pair pass, so trees hold many pairs that fail
-    monkeypatch.setattr(jaccard_join, "bins_for", lambda n: 1 + n % 2)
+    monkeypatch.setattr(jaccard_join, "bins_for", lambda n, percent: 1 + n % 2)
     rng = np.random.default_rng(8)
     docs = list(enumerate(near_copies(rng, 4, 30, 80)))
     df = spark.createDataFrame(docs, "doc_id long, text string")

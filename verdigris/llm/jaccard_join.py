@@ -9,7 +9,8 @@ further tokens by hash.  Tokens of one set alone cannot be shared and drop out.
 
 Sets that share a prefix token of the first order meet.  Of each group, pairs pass that also share a
 prefix token of the other orders and whose token histograms are near enough, which never refuses a
-similar pair.  Only a spanning tree of these pairs is verified with the full sets.  Where a tree edge
+similar pair.  Only a spanning tree of these pairs is verified with the full sets, and of the trees of
+different groups only the edges that join what is not yet joined.  Where a tree edge
 fails, the members that lie outside their group's main component propose their nearest other pairs.
 Groups in which one of these fails too, or that had more to propose, come together a last time with the
 full sets, and all passing pairs between components are verified until these have joined or none is
@@ -29,8 +30,8 @@ from .components import connected_components, near_components
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 80
-#: Bins of a token histogram for each token of a set, and their least and largest number.
-BINS_PER_TOKEN, BINS_LEAST, BINS_MOST = 2, 256, 16384
+#: Bins of a token histogram for each token that a set may lack, and their least and largest number.
+BINS_PER_MISSING, BINS_LEAST, BINS_MOST = 10, 256, 16384
 #: Bits that mark the prefix tokens of a further order.
 MARKS = 1024
 #: Members of a group in one task; larger groups are compared block by block.
@@ -194,8 +195,8 @@ def histogram(shingles: np.ndarray, bins: int) -> np.ndarray:
     return np.minimum(np.bincount((shingles % np.uint64(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
 
 
-def bins_for(n: int) -> int:
-    return min(BINS_MOST, max(BINS_LEAST, 1 << max(0, BINS_PER_TOKEN * n - 1).bit_length()))
+def bins_for(n: int, percent: int) -> int:
+    return min(BINS_MOST, max(BINS_LEAST, 1 << max(0, BINS_PER_MISSING * n * (100 - percent) // 100 - 1).bit_length()))
 
 
 def marks(tokens: np.ndarray) -> bytes:
@@ -226,7 +227,7 @@ def _profile_rows(words: int, percent: int, bins_of):
                         continue
                     out["keys"][i] = found[0].astype(np.int64)
                     out["second"][i], out["third"][i] = marks(found[1]), marks(found[2])
-                    out["bins"][i] = histogram(s, bins_of(len(s))).tobytes()
+                    out["bins"][i] = histogram(s, bins_of(len(s), percent)).tobytes()
                     out["shingles"][i] = s.view(np.int64)
                 part = batch.slice(at, len(sets))
                 yield pa.RecordBatch.from_arrays(
@@ -430,7 +431,15 @@ def similar_links(some: DataFrame, path: str, percent: int, group_most: int = GR
         return rows.join(label, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("component", "digest")).drop("node", "component")
 
     tree = edges_of(member.join(some.select(*facts), "digest"), "tree")
-    same = verified(tree, "verified1")
+    # one edge of each node first; most others then lie inside a component
+    pairs = tree.select("a", "b").distinct()
+    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    same = verified(first, "verified1")
+    label = written(near_components(same.filter("similar")), f"{path}/labels0")
+    of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+    same = same.unionByName(verified(rest, "verified1b"))
     links, bad = same.filter("similar").select("a", "b"), same.filter("not similar").select("a", "b")
     if not bad.isEmpty():
         # groups in which a tree edge failed may hold other links between their components
