@@ -3,6 +3,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,29 @@ def test_licenses_equal_brute_force(spark):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+LICENSE_LINES = [
+    ("Licensed under the Apache License, Version 2.0.", "apache"), ("Released under the MIT License.", "mit"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Licensed under CC BY-NC 4.0.", "cc"),
+]
+
+
+def test_edited_license_lines_are_labelled():
+    lines = {t for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() for t in r.split("\n") if "icensed under" in t or "eleased under" in t}
+    assert lines == {line for line, _ in LICENSE_LINES}
+    for line, label in LICENSE_LINES:
+        exact = license_scan.scan_text(f"Some words. {line} More words.")
+        assert exact[5] == label and exact[6] == 1
+        for at in range(len(line)):
+            for edited in (line[:at] + line[at + 1 :], line[:at] + "q" + line[at + 1 :], line[:at] + "q" + line[at:]):
+                got = license_scan.scan_text(f"Some words. {edited} More words.")
+                assert got[5] == label and 0.9 < got[6] <= 1, edited
+    short = {"MIT licence": "mit", "Apache licence, version 2.0": "apache", "gnu genral public license": "gpl", "general public licence": "gpl", "CC-BY-NC 4.O": "cc", "cc by-sa": "cc", "all under CC BY": "cc", "cc by 3.0": "cc"}
+    for text, label in short.items():
+        assert license_scan.scan_text(f"see {text} here")[5] == label
+    for text in ("limit license", "mit licensees", "sent in cc by mail", "a license of the public", "general public"):
+        assert license_scan.scan_text(f"see {text} here")[5] == "", text
+
+
 def test_fuzzy_places_equal_whole_text_search():
     regex = pytest.importorskip("regex")
     notice = "licensed under the apache license version 2 0"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from .common import bound_batches, take_worker
 
-#: Phrases whose exact places are counted, with their labels; fixed values.
+#: Phrases whose exact places are counted, with their labels; searched with edits like notices too; fixed values.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 #: Short notices with their labels, in the words of the normalised text; fixed values.
@@ -32,8 +32,29 @@ NOTICES = (
     ("subject to the terms of the mozilla public license", "mpl"),
     ("licensed under a creative commons attribution", "cc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("licensed under the gnu general public license", "gpl"),
+    ("gnu general public license", "gpl"),
+    ("apache license version 2 0", "apache"),
+    ("permission is hereby granted free of charge", "mit"),
+    ("mozilla public license", "mpl"),
+    ("creative commons attribution", "cc"),
+    ("free and unencumbered software", "unlicense"),
+    ("licensed under cc by 4 0", "cc"),
+    ("licensed under cc by nc", "cc"),
+    ("licensed under cc by nd", "cc"),
+    ("licensed under cc by sa", "cc"),
+    ("under cc by", "cc"),
+    ("cc by 4 0", "cc"),
+    ("cc by 3 0", "cc"),
+    ("cc by 2 5", "cc"),
+    ("cc by 2 0", "cc"),
+    ("cc by 1 0", "cc"),
+    ("cc by nc 4 0", "cc"),
+    ("cc by nc", "cc"),
+    ("cc by nd", "cc"),
+    ("cc by sa", "cc"),
 )
-#: One edit for every so many characters of a notice.
+#: One edit for every so many characters of a notice; shorter ones must stand unchanged.
 CHARS_PER_EDIT = 10
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -82,6 +103,8 @@ def fuzzy_places(text: str, notices: tuple[tuple[str, str], ...] = NOTICES, char
             else:
                 merged.append([low, high])
         for low, high in merged:
+            if high < len(text):  # the search takes the end of a window for the end of a word
+                high = max(low, text.rfind(" ", low, high + 1))
             for m in pattern.finditer(text, low, min(len(text), high)):
                 found.append((which, m.start(), m.end(), sum(m.fuzzy_counts)))
     return found
@@ -97,6 +120,7 @@ def scan_text(text: str | None, notices=NOTICES, phrases=PHRASES, chars_per_edit
             starts.append(padded.count(" ", 0, at + 1) - 1)
             base.add(label)
             at = padded.find(f" {phrase} ", at + 1)
+    notices = (*notices, *phrases)
     places = fuzzy_places(line, notices, chars_per_edit) if line else []
     best = max((1 - e / len(notices[w][0]) for w, _, _, e in places), default=0.0)
     spans = [{"label": notices[w][1], "start": a, "end": b, "edits": e} for w, a, b, e in sorted(places, key=lambda p: (p[1], p[0]))]
@@ -117,7 +141,8 @@ def scan_licenses(
 ) -> DataFrame:
     """Per row: key, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    Offsets of spans are characters of the normalised text.  Null and empty texts have no words, no
+    Notices and phrases are both searched with edits; n_base, first_word, last_word and base_labels
+    are of phrases that stand unchanged.  Offsets of spans are characters of the normalised text.  Null and empty texts have no words, no
     labels (empty strings), null first_word and last_word, and score 0.  Repeated rows are scanned one
     by one; keys may be null.  An empty table gives no rows.  Map-only: no shuffle.
     """
