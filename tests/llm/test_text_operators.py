@@ -109,6 +109,25 @@ def test_fuzzy_places_equal_whole_text_search():
             assert fast[0][3] == sum(slow.fuzzy_counts)
 
 
+def test_neighbouring_notices_are_all_found():
+    notices = (("released under the mit license", "mit"),)
+    text = "released undr the mit lisence released under the mit license x"
+    assert license_scan.fuzzy_places(text, notices) == [(0, 0, 29, 3), (0, 30, 60, 0)]
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        line, want = "", []
+        for _ in range(int(rng.integers(1, 6))):
+            body = list(notices[0][0])
+            edits = int(rng.integers(0, 3))
+            for at in rng.choice([2, 10, 15, 19, 25], edits, replace=False):
+                body[at] = "q"
+            want.append((0, len(line), len(line) + len(body), edits))
+            line += "".join(body) + " "
+        assert license_scan.fuzzy_places(line.strip(), notices) == want
+    many = "released undr the mit license " * 3000
+    assert len(license_scan.fuzzy_places(many.strip(), notices)) == 3000
+
+
 def test_language_id_held_out_accuracy(spark):
     for data in (DATA, "/root/testdata/sf0.01"):
         out = queries.op1_language_id(spark, data)

@@ -7,7 +7,9 @@ library's bounded-error matching decides each and reports its span and edits.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import heapq
 import re
 
 import pandas as pd
@@ -89,27 +91,51 @@ def _searcher(notices: tuple[tuple[str, str], ...], chars_per_edit: int):
 def fuzzy_places(text: str, notices: tuple[tuple[str, str], ...] = NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> list[tuple[int, int, int, int]]:
     """(notice, start, end, edits) of the places of normalised text within a notice's edits, on whole words."""
     automaton, fuzzy = _searcher(notices, chars_per_edit)
-    near: dict[int, list[tuple[int, int]]] = {}
+    near: dict[int, set[tuple[int, int]]] = {}
     for last, (length, where) in automaton.iter(text):
         for which, at in where:
             begin, k = last - length + 1 - at, fuzzy[which][0]
-            near.setdefault(which, []).append((max(0, begin - k), begin + len(notices[which][0]) + k))
+            near.setdefault(which, set()).add((max(0, begin - k), begin + len(notices[which][0]) + k))
     found = []
     for which, windows in near.items():
-        pattern, merged = fuzzy[which][1], []
-        for low, high in sorted(windows):
-            if merged and low <= merged[-1][1]:
-                merged[-1][1] = max(high, merged[-1][1])
-            else:
-                merged.append([low, high])
-        for low, high in merged:
-            if high < len(text):  # the search takes the end of a window for the end of a word
-                high = max(low, text.rfind(" ", low, high + 1))
-            for m in pattern.finditer(text, low, min(len(text), high)):
-                found.append((which, m.start(), m.end(), sum(m.fuzzy_counts)))
+        found += [(which, *place) for place in _apart(text, fuzzy[which][1], windows)]
     return found
 
 
+def _apart(text: str, pattern, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of one notice's places in windows of the text, best first where they overlap."""
+    best: list[tuple[int, int, int, int, int]] = []
+
+    def search(low: int, high: int) -> None:
+        if high < len(text):  # the search takes the end of a window for the end of a word
+            high = max(low, text.rfind(" ", low, high + 1))
+        m = pattern.search(text, low, min(len(text), high))
+        if m:
+            heapq.heappush(best, (sum(m.fuzzy_counts), m.start(), m.end(), low, high))
+
+    for low, high in windows:
+        search(low, high)
+    taken: list[tuple[int, int]] = []
+    edits = {}
+    while best:
+        n, start, end, low, high = heapq.heappop(best)
+        at = bisect.bisect_left(taken, (end, 0))
+        if at and taken[at - 1][1] > start:  # what the window has beside the better place
+            before, after = taken[at - 1]
+            if low < before:
+                search(low, before - 1)
+            if after < high:
+                search(after, high)
+        else:
+            taken.insert(at, (start, end))
+            edits[start] = n
+            if low < start:
+                search(low, start - 1)
+            if end < high:
+                search(end, high)
+    return [(start, end, edits[start]) for start, end in taken]
+
+
 def scan_text(text: str | None, notices=NOTICES, phrases=PHRASES, chars_per_edit: int = CHARS_PER_EDIT) -> tuple:
     """The columns that scan_licenses adds, for one text."""
     line, n_words = normalised(text)
