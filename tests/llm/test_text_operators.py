@@ -139,6 +139,15 @@ def test_language_id_held_out_accuracy(spark):
         assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_id_learns_from_different_texts(spark, monkeypatch):
+    rows = [("the same text over and over", "en")] * 3000 + [(f"word number {i}", "en") for i in range(8)] + [("le mot", "fr")] * 2 + [("le mot", "en")]
+    monkeypatch.setattr(language_id, "fit", lambda texts, languages: list(zip(languages, texts, strict=True)))
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert language_id.train(docs) == sorted({(b, a) for a, b in rows})
+    few = language_id.train(docs, rows_per_language=4)
+    assert len(few) == len(set(few)) == 5
+
+
 def test_language_id_odd_rows(spark):
     docs = spark.createDataFrame(ODD, SCHEMA)
     model = language_id.train(docs)

@@ -140,19 +140,19 @@ def decode(model: Model, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
-    """Fit on a bounded sample: at most rows_per_language rows of each language, most_rows in all.
+    """Fit on a bounded sample: at most rows_per_language different texts of each language, most_rows in all.
 
-    Rows are picked by a hash of their text, so any order of the input gives the same model.  Rows
-    without a language, or whose text has no letter, teach nothing.
+    Texts are picked by their hash, so any order of the input gives the same model, and copies count
+    once.  Rows without a language, or whose text has no letter, teach nothing.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    # counting reads one column; the most frequent languages come first if there are too many
-    counts = labelled.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max(1, most_rows // 10)).collect()
+    # different texts, nearly; the languages of most texts come first if there are too many
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("count")).orderBy(F.desc("count"), "lang").limit(max(1, most_rows // 10)).collect()
     each = min(rows_per_language, most_rows // max(1, len(counts)))
     share = F.lit(0.0)
     for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 3 * each / r["count"])).otherwise(share)
-    picked = rows.withColumn("draw", F.xxhash64("text")).filter((F.pmod("draw", F.lit(1 << 30)) / (1 << 30)) < share)
+        share = F.when(F.col("lang") == r["lang"], min(1.0, 3 * each / max(1, r["count"]))).otherwise(share)
+    picked = rows.withColumn("draw", F.xxhash64("text")).filter((F.pmod("draw", F.lit(1 << 30)) / (1 << 30)) < share).dropDuplicates(["lang", "draw", "text"])
     first = Window.partitionBy("lang").orderBy("draw", "text")
     sample = picked.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each).select("text", "lang").toPandas()
     sample = sample.sort_values(["lang", "text"])
