@@ -53,8 +53,11 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def _readable(body):
-    """UTF-8 bytes as text, without the bytes of characters that were cut."""
-    return F.regexp_replace(F.call_function("make_valid_utf8", body.cast("string")), "�", "")
+    """UTF-8 bytes as text, without the bytes of characters that were cut; U+FFFD of the text itself stays."""
+    lead, broken = F.lit("\x01"), F.lit("\ufffd")
+    marked = F.replace(F.replace(body.cast("string"), lead, F.lit("\x01A")), broken, F.lit("\x01B"))
+    whole = F.replace(F.call_function("make_valid_utf8", marked), broken, F.lit(""))
+    return F.replace(F.replace(whole, F.lit("\x01B"), broken), F.lit("\x01A"), lead)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,12 @@ def test_run_and_odd_rows(spark, tmp_path):
             stage(spark, some, DATA).collect()
     cut = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.drop_repeated_strings(spark, docs, DATA).collect()}
     assert 5 not in cut and cut[6] == ("x", 1) and cut[2] == ("", 0)
+
+
+def test_replacement_characters_of_the_text_stay(spark):
+    common = "".join(f"{i:04d}" for i in range(100))
+    rows = [(1, "q\ufffd\x01B é" + common), (2, "w\x01A ũ" + common + "\ufffd"), (3, "\ufffd whole")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i: b.decode(errors="ignore") for (i, _), (_, _, b) in zip(rows, brute.duplicated([t for _, t in rows]), strict=True)}
+    assert want == {1: "q\ufffd\x01B ", 2: "w\x01A \ufffd", 3: "\ufffd whole"}
+    assert texts(pipeline.drop_repeated_strings(spark, docs, DATA)) == want
