@@ -29,8 +29,13 @@ def _clear(spark: SparkSession) -> None:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: `und` and ambiguous ones go.  Learnt from the labelled rows of docs."""
+    """Documents whose language can be told: `und` and ambiguous ones go.  Learnt from the labelled rows of docs.
+
+    Without any labelled row no language can be learnt; then all documents that have a letter stay.
+    """
     model = language_id.train(docs)
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     told = language_id.identify(docs, model)
     return told.filter((F.col("lang_pred") != language_id.UNDETERMINED) & ~F.col("lang_ambiguous")).select(*docs.columns)
 

@@ -56,3 +56,9 @@ def test_replacement_characters_of_the_text_stay(spark):
     want = {i: b.decode(errors="ignore") for (i, _), (_, _, b) in zip(rows, brute.duplicated([t for _, t in rows]), strict=True)}
     assert want == {1: "q\ufffd\x01B ", 2: "w\x01A \ufffd", 3: "\ufffd whole"}
     assert texts(pipeline.drop_repeated_strings(spark, docs, DATA)) == want
+
+
+def test_documents_without_labels_stay(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "mots", None)], "doc_id long, text string, lang string")
+    out = pipeline.identify_language(spark, docs, DATA)
+    assert out.columns == docs.columns and texts(out) == {1: "plain words", 5: "mots"}
