@@ -47,6 +47,19 @@ def test_decontaminate_small_cases_and_blocks(spark, block_bytes):
     assert decontaminate.find_benchmark(d, b.limit(0)).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 24, 60])
+def test_longest_matches_are_returned(spark, block_bytes):
+    words = [f"w{i}" for i in range(200)]
+    items = [(1, " ".join(words)), (2, "short one"), (3, "a " * 20), (None, " ".join(words[:20]))]
+    text = " ".join(["x", *words[5:190], "y", *words[20:33], "short", "one", "z", *words[40:52]])
+    d = spark.createDataFrame([(1, text), (2, "a " * 14), (3, None)], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: sorted(tuple(m) for m in r["matches"]) for r in decontaminate.find_benchmark(d, b, block_bytes=block_bytes).collect()}
+    assert got[1] == [("1", 5, 1, 185), ("1", 20, 187, 13), ("2", 0, 200, 2)]
+    assert got[2] == sorted([("3", i, 0, 14) for i in range(7)] + [("3", 7, 0, 13), ("3", 0, 1, 13)])
+    assert got[3] == []
+
+
 def test_longest_match_and_places():
     tests = decontaminate.test_suffixes([("a", "one two three four five six")], window=4)
     sizes, first, document, array = decontaminate.shard_of(["zero one two three four nine", "five six"], tests)

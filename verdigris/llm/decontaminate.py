@@ -149,11 +149,22 @@ def places(array: SuffixArray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndar
     return which, array.positions[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
 
 
-def hits(texts: list[str | None], tests: TestSuffixes) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
-    """Per text: its number of words, the maximal hit spans in words, and the items that occur."""
+def _whole(document: np.ndarray, at: np.ndarray, which: np.ndarray, tests: TestSuffixes) -> np.ndarray:
+    """(text, position, item, the item's word, words) of every longest verbatim match: windows that follow one another in a text and an item are one."""
+    rows = np.stack([document[at], tests.item[which], at - tests.start[which], at, tests.start[which], tests.lengths[which]], 1)
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    step = np.diff(rows, axis=0)
+    begins = np.flatnonzero(np.concatenate([[True], (step[:, :3] != 0).any(1) | (step[:, 3] != 1)]))
+    last = np.concatenate([begins[1:], [len(rows)]]) - 1
+    out = np.stack([rows[begins, 0], rows[begins, 3], rows[begins, 1], rows[begins, 4], rows[last, 3] + rows[last, 5] - rows[begins, 3]], 1)
+    return out[np.lexsort((out[:, 3], out[:, 2], out[:, 1], out[:, 0]))]
+
+
+def hits(texts: list[str | None], tests: TestSuffixes) -> list[tuple[int, list[tuple[int, int]], list[int], list[tuple[int, int, int, int]]]]:
+    """Per text: its number of words, the maximal hit spans in words, the items that occur, and (word, item, the item's word, words) of the longest matches."""
     sizes, first, document, array = shard_of(texts, tests)
     which, at = places(array, tests)
-    out: list[tuple[int, list, list]] = [(int(n), [], []) for n in sizes]
+    out: list[tuple[int, list, list, list]] = [(int(n), [], [], []) for n in sizes]
     if len(at):
         change = np.zeros(len(document) + 1, np.int64)
         np.add.at(change, at, 1)
@@ -166,6 +177,8 @@ def hits(texts: list[str | None], tests: TestSuffixes) -> list[tuple[int, list[t
             out[d][1].append((a - int(first[d]), b - int(first[d])))
         for d, i in np.unique(np.stack([document[at], tests.item[which]], 1), axis=0).tolist():
             out[d][2].append(i)
+        for d, a, i, b, n in _whole(document, at, which, tests).tolist():
+            out[d][3].append((a - int(first[d]), i, b, n))
     return out
 
 
@@ -198,6 +211,7 @@ def _looker(shared, state: str):
             "n_words": [f[0] for f in found],
             "spans": [[{"start": a, "end": b} for a, b in f[1]] for f in found],
             "items": [[names[i] for i in f[2] if names[i] is not None] for f in found],
+            "matches": [[{"item": names[i], "item_word": b, "word": a, "words": n} for a, i, b, n in f[3] if names[i] is not None] for f in found],
         })
 
     return look.asNondeterministic()
@@ -212,19 +226,22 @@ def find_benchmark(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Add n_words, n_hit, n_items, items_sha256, contaminated and hit_spans to every row of docs.
+    """Add n_words, n_hit, n_items, items_sha256, contaminated, hit_spans and matches to every row of docs.
 
-    hit_spans are the maximal runs of hit words, as (start, end).  Null and empty texts have no words
+    hit_spans are the maximal runs of hit words, as (start, end).  matches are the longest verbatim
+    matches, of a window or more, as (item, item_word, word, words): the item, the match's first word
+    in item and document, and its length.  Null and empty texts have no words
     and are never contaminated.  Items without words are never found; items of one id count once;
     items with a null id are found but not listed or counted.  All columns of docs stay;
-    columns of the six new names are replaced.  Map-only over docs.
+    columns of the seven new names are replaced.  Map-only over docs.
     """
-    new = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
+    new = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "matches")
     docs = docs.drop(*new)
-    state = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+    match = "array<struct<item:string,item_word:int,word:int,words:int>>"
+    state = f"n_words long, spans array<struct<start:int,end:int>>, items array<string>, matches {match}"
     spark = docs.sparkSession
     bound_batches(spark)
-    current = docs.withColumn("__hit", F.lit(None).cast(f"struct<{state.replace('n_words long', 'n_words:bigint').replace('spans array', 'spans:array').replace('items array', 'items:array')}>"))
+    current = docs.withColumn("__hit", F.lit(None).cast(f"struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>,matches:{match}>"))
     for block in blocks_of(benchmark, item, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(test_suffixes(block, window))  # of at most block_bytes of text
 
@@ -233,6 +250,7 @@ def find_benchmark(
             F.col("__new.n_words").alias("n_words"),
             F.concat(F.coalesce(F.col("__hit.spans"), F.array().cast("array<struct<start:int,end:int>>")), F.col("__new.spans")).alias("spans"),
             F.array_union(F.coalesce(F.col("__hit.items"), F.array().cast("array<string>")), F.col("__new.items")).alias("items"),
+            F.concat(F.coalesce(F.col("__hit.matches"), F.array().cast(match)), F.col("__new.matches")).alias("matches"),
         )).drop("__new")
     n_hit = F.aggregate(
         F.array_sort("__hit.spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
@@ -246,7 +264,7 @@ def find_benchmark(
         *[F.col(f"`{c}`") for c in docs.columns], "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        F.col("__hit.spans").alias("hit_spans"),
+        F.col("__hit.spans").alias("hit_spans"), F.col("__hit.matches").alias("matches"),
     )
 
 
