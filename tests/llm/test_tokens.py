@@ -10,16 +10,16 @@ from tokenizers import Tokenizer
 from verdigris.llm import packing, queries, tokens
 
 DATA = "/root/testdata/sf0.001"
-KINDS = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
+NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 TEXT = st.lists(st.sampled_from(["a", "Word", "it's", "don't", ",", ".", " ", "  ", "\n", "\n\n", "\t", " \n", "é", "ß", "漢字", "123", "!?", "<|endoftext|>", " ", "\x1c", "é", "ΑΣ", "ÀÉ", "ÿß,", "İ", "µ", "x.y,", "\r\n"]), max_size=14).map("".join)
 
 
-@pytest.mark.parametrize("name,kept", KINDS)
-def test_pieces_give_the_ids_of_whole_texts(name, kept):
+@pytest.mark.parametrize("name", NAMES)
+def test_pieces_give_the_ids_of_whole_texts(name):
     path = public_tokenizers.path(name)
-    mine, whole = tokens.PieceEncoder(path, kept), Tokenizer.from_file(path)
+    mine, whole = tokens.PieceEncoder(path), Tokenizer.from_file(path)
 
-    @settings(max_examples=400, deadline=None)
+    @settings(max_examples=1500, deadline=None)
     @given(st.lists(TEXT, max_size=3))
     def check(texts):
         for t, got in zip(texts, mine.encode(texts), strict=True):
@@ -29,6 +29,39 @@ def test_pieces_give_the_ids_of_whole_texts(name, kept):
     assert mine.encode([None, ""]) == [b"", b""]
 
 
+#: Texts in which cutting, lower case or joining could go wrong.
+HARD = [
+    "Word,Word,word!!WORD--\nWord", "ÀÉ,àé.ÄÖ\n\nÜ", "J\u030cK J\u030c, A\u0301B.\u0301", "x\u00d7y \u00f7z ×,÷", "\u212a \u017f İ I\u0307", "a" * 700 + "," + "b" * 700,
+    "ab" * 400 + " " + "ba" * 400, "ÿ" * 300 + " " + "Ý" * 300, "don't,can't.'s", "tab\t,x\r\n.y", "q\u00a0,w\u2003.", "1,234.5-6\n7", "\u00aa,\u00ba.", "#tag @you $5 100%", "(a)(B)\"c\"", "end.\n", "\nstart", "  two", "a,\n b",
+]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_hard_texts_together_and_alone(name):
+    path = public_tokenizers.path(name)
+    mine, whole = tokens.PieceEncoder(path), Tokenizer.from_file(path)
+    assert mine.cuts
+    want = [whole.encode(t, add_special_tokens=False).ids for t in HARD]
+    for _ in range(2):
+        assert [np.frombuffer(x, mine.dtype).tolist() for x in mine.encode(HARD)] == want
+    assert [np.frombuffer(mine.encode([t])[0], mine.dtype).tolist() for t in HARD] == want
+    for a in ("ÀÉ", "Word", "J"):
+        for b in ("İ", "\u00a0", "\u030c", "ÄB", "c"):
+            got = tokens.PieceEncoder(path).encode([a, b, a + b, b + a])
+            assert [np.frombuffer(x, mine.dtype).tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in (a, b, a + b, b + a)]
+
+
+def test_tokenizers_of_another_kind_encode_whole_texts(tmp_path):
+    from tokenizers import pre_tokenizers
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "t.json"))
+    mine = tokens.PieceEncoder(str(tmp_path / "t.json"))
+    assert not mine.cuts
+    assert [np.frombuffer(x, mine.dtype).tolist() for x in mine.encode(HARD)] == [other.encode(t, add_special_tokens=False).ids for t in HARD]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=40))
 def test_coding_round_trip(values):

@@ -85,7 +85,6 @@ def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int,
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
-    spaces_kept: bool = False,
     end_id: int = 1,
     capacity: int = CAPACITY,
     piece: int = PIECE,
@@ -127,7 +126,7 @@ def pack_documents(
     def run(batches):
         take_worker("packing")
         nonlocal dtype
-        enc = encoder(tokenizer, spaces_kept)
+        enc = encoder(tokenizer)
         dtype = enc.dtype
         end, width = np.array([end_id], dtype).tobytes(), dtype.itemsize
         sequence = TaskContext.get().partitionId() << 33

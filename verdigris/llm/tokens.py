@@ -10,6 +10,7 @@ Blocks are rows of Parquet files, written and committed by Spark on any file sys
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from array import array
@@ -30,150 +31,198 @@ REMEMBERED = 500_000
 #: Pieces encoded in one call, parted by a special token.
 _AT_ONCE = 64
 
-#: Marks that may follow a word; an apostrophe may be part of one.
-_MARKS = ".,;:!?*#&%$@|()\"-\n"
 #: Texts that are encoded in one call.
 TEXTS = 1000
 #: Bytes of text that are cut into pieces at once.
-_CHUNK = 1_500_000
+_CHUNK = 4_000_000
+#: Pieces longer than this are compared as they are, not by a hash.
+_LONG = 256
+
+
+def _table(members) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
 #: ASCII white space, as any library sees it, and the bytes that other white space begins with.
-_SPACE = np.zeros(256, bool)
-_SPACE[[*range(9, 14), *range(28, 33)]] = True
-_MAY_BEGIN_SPACE = _SPACE.copy()
-_MAY_BEGIN_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-_MAY_END_SPACE = _SPACE.copy()
-_MAY_END_SPACE[0x80:] = True
+_SPACE = _table([*range(9, 14), *range(28, 33)])
+_MAY_BEGIN_SPACE = _SPACE | _table([0xC2, 0xE1, 0xE2, 0xE3])
+_MAY_END_SPACE = _SPACE | _table(range(0x80, 256))
+#: Marks that part from a letter before them; an apostrophe does not, nor does white space that a tokenizer may join.
+_MARKS = _table(b".,;:!?*#&%$@|()\"-\n")
+_UPPER, _LETTERS = _table(range(65, 91)), _table([*range(65, 91), *range(97, 123)])
+#: Second bytes of Latin-1 letters after 0xC3, and of those that have a lower case.
+_LATIN, _LATIN_UPPER = _table(set(range(0x80, 0xC0)) - {0x97, 0xB7}), _table(set(range(0x80, 0x9F)) - {0x97})
 
 #: The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others follow 255 in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_BLANK = chr(_BYTE_LEVEL[32])
+
+#: Parts of a tokenizer whose texts can be cut; fixed values.
+_CUT_AT_BLANKS = (None, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True})
+_DROPS_SPACE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+    ]},
+)
+
+
+def _parts(tokenizer) -> tuple:
+    """What normalises and cuts a tokenizer's texts; offsets do not matter here."""
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in x.items() if k != "trim_offsets"}
+        return [plain(v) for v in x] if isinstance(x, list) else x
+
+    return tuple(x and plain(json.loads(x.__getstate__())) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
 
 
 class PieceEncoder:
     """Exact ids of whole texts, reusing the ids of pieces that occur again.
 
-    spaces_kept: the tokenizer keeps white space and splits before a single blank that no white space
-    follows, and around a single line feed, so cutting before the blank and after the line feed
-    changes nothing.  Otherwise it drops white space and any of it may be cut out.  Texts that hold
-    `<|` are encoded uncut, for the sake of special tokens.
+    Two kinds of byte-level tokenizer are known.  One keeps white space and splits before a single blank
+    that no white space follows, and around a single line feed, so cutting before the blank and after
+    the line feed changes nothing.  The other drops white space and case, and any white space may be cut
+    out.  Both part a letter from a mark.  Texts that hold `<|` are encoded uncut, for the sake of
+    special tokens, and so is every text of a tokenizer of another kind.
     """
 
-    def __init__(self, path: str, spaces_kept: bool):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaces_kept = spaces_kept
+        added = self.tokenizer.get_added_tokens_decoder()
+        parts = _parts(self.tokenizer)
+        self.spaces_kept = parts == _CUT_AT_BLANKS
+        self.cuts = (self.spaces_kept or parts == _DROPS_SPACE) and self.tokenizer.truncation is None and self.tokenizer.padding is None
+        self.cuts &= all("<|" in t.content and not (t.lstrip or t.rstrip) for t in added.values())
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content.startswith("<|") and not (t.lstrip or t.rstrip)]
-        self.parting = special[0] if special else None
+        self.parting = next(((t.content, i) for i, t in added.items()), None)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}  # pieces known from longer ago
 
-    def _cut(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, data: np.ndarray, first: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, end) of the pieces of joined texts, of which `first` has the first bytes."""
+        n = len(data)
+        start = np.zeros(n + 1, bool)
+        start[1:n] = letter[:-1] & _MARKS[data[1:]]
         if not self.spaces_kept:
-            inside = np.concatenate([[False], (data != 32) & (data != 10), [False]])
-            inside_next, inside_before = inside[1:], inside[:-1]
-            starts, ends = np.flatnonzero(inside_next & ~inside_before), np.flatnonzero(inside_before & ~inside_next)
-            # a piece must not reach into the next text
-            cuts = first[(first < len(data))]
-            cuts = cuts[inside[1:][cuts] & inside[cuts]]
-            return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+            inside = np.zeros(n + 1, bool)
+            inside[:n] = (data != 32) & (data != 10)
+            edge = inside.copy()
+            edge[1:] &= ~inside[:-1]
+            start |= edge
+            start[first] = True  # a piece must not reach into the next text
+            start &= inside
+            starts = np.flatnonzero(start)
+            stop = start[1:] & inside[:-1]
+            stop |= inside[:-1] & ~inside[1:]
+            return starts, np.flatnonzero(stop) + 1
         after = np.append(data[1:], 32)
-        blank = (data == 32) & ~_MAY_BEGIN_SPACE[after]
-        line = np.zeros(len(data), bool)
+        start[:n] |= (data == 32) & ~_MAY_BEGIN_SPACE[after]
+        line = np.zeros(n, bool)
         line[1:] = (data[:-1] == 10) & ~_MAY_BEGIN_SPACE[data[1:]]
         line[1:2] = False
         line[2:] &= ~_MAY_END_SPACE[data[:-2]]
-        start = blank | line
-        start[first[first < len(data)]] = True
-        starts = np.flatnonzero(start)
-        return starts, np.append(starts[1:], len(data))
+        start[:n] |= line
+        start[first] = True
+        starts = np.flatnonzero(start[:n])
+        return starts, np.append(starts[1:], n)
 
     def _packed(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Find the ids of new pieces.  A word parts from the marks that end it; plain words need no pre-tokenizer."""
-        known, before, tokenize, code = self.known, self.before, self.tokenizer.model.tokenize, self.code
-        rest, ended, marks = {}, [], {}
-        for raw in new:
-            if before and (old := before.pop(raw, None)) is not None:
-                known[raw] = old
-                continue
-            piece = raw.decode(errors="replace")
-            body = piece.rstrip(_MARKS)
-            mark = piece[len(body) :]
-            stem = raw[: len(raw) - len(mark)] if mark else raw  # marks are ASCII
-            if not body.lstrip(" ").isalpha():  # marks part from letters only
-                rest[raw] = piece
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Ids of pieces that are Latin-1 letters, after a blank at most: the pre-tokenizer leaves these whole, so the model does."""
+        known, tokenize, code = self.known, self.tokenizer.model.tokenize, self.code
+        ascii_only = [w for w in words if w.isascii()]
+        for some in (ascii_only, [w for w in words if not w.isascii()]):
+            if not some:
                 continue
-            if stem not in known:
-                word = self._plain(body)
-                if word is None:
-                    rest[raw] = piece
-                    continue
-                known[stem] = array(code, [t.id for t in tokenize(word)]).tobytes()
-            if mark:
-                ended.append((raw, stem, mark))
-                marks[mark.encode()] = mark
-        self._learn_any(rest | {k: m for k, m in marks.items() if k not in known})
-        for raw, stem, mark in ended:
-            known[raw] = known[stem] + known[mark.encode()]
-
-    def _learn_any(self, pieces: dict[bytes, str]) -> None:
-        raws = list(pieces)
+            shown = b"\n".join(some).decode("latin-1")
+            shown = shown.replace(" ", _SHOWN[32]) if some is ascii_only else shown.translate(_SHOWN)
+            for raw, word in zip(some, shown.split("\n"), strict=True):
+                known[raw] = array(code, [t.id for t in tokenize(word)]).tobytes()
+
+    def _learn_any(self, raws: list[bytes]) -> None:
+        texts = [r.decode() for r in raws]
         if self.parting is None:
-            for raw, e in zip(raws, self.tokenizer.encode_batch_fast([pieces[r] for r in raws], add_special_tokens=False), strict=True):
+            for raw, e in zip(raws, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 self.known[raw] = self._packed(e.ids)
             return
         mark, number = self.parting
-        groups = [raws[i : i + _AT_ONCE] for i in range(0, len(raws), _AT_ONCE)]
-        texts = [mark.join(pieces[r] for r in g) for g in groups]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        groups = [slice(i, i + _AT_ONCE) for i in range(0, len(raws), _AT_ONCE)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([mark.join(texts[g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
             data, at = ids.tobytes(), 0
-            for raw, end in zip(group, [*(np.flatnonzero(ids == number) * self.dtype.itemsize).tolist(), len(data)], strict=True):
+            for raw, end in zip(raws[group], [*(np.flatnonzero(ids == number) * self.dtype.itemsize).tolist(), len(data)], strict=True):
                 self.known[raw] = data[at:end]
                 at = end + self.dtype.itemsize
 
-    def _plain(self, body: str) -> str | None:
-        """What the model sees of a piece that is one word of Latin-1 letters and nothing else; None of any other piece."""
-        blank = self.spaces_kept and body[:1] == " "
-        word = body[1:] if blank else body
-        if not word.isalpha():
-            return None
-        if not word.isascii():
-            if max(word) > "\xff":
-                return None
-            word = (word if self.spaces_kept else word.lower()).encode().decode("latin-1").translate(_BYTE_LEVEL)
-        elif not self.spaces_kept:
-            word = word.lower()
-        return _BLANK + word if blank else word
+    def _lowered(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Latin-1 letters in lower case, but for those that what follows may join; the tokenizer drops the case anyway."""
+        after = np.append(data[1:], 32)
+        after[ends - 1] = 32
+        alone = (after < 0x80) | (after == 0xC3)
+        out = data.copy()
+        out[_UPPER[data] & alone] += 32
+        latin = np.flatnonzero((data[:-1] == 0xC3) & _LATIN_UPPER[data[1:]] & alone[1:]) + 1
+        out[latin] += 32
+        return out
 
     def _encode_joined(self, texts: list[bytes]) -> list[bytes]:
         joined = b"".join(texts)
         data = np.frombuffer(joined, np.uint8)
         ends = np.cumsum([len(t) for t in texts])
-        starts, stops = self._cut(data, ends - np.array([len(t) for t in texts]))
-        which, _ = pd.factorize(RollingHash(data).slices(starts, stops))
+        if not self.spaces_kept:
+            data = self._lowered(data, ends)
+            joined = data.tobytes()
+        letter = _LETTERS[data]
+        latin = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]])
+        letter[latin] = letter[latin + 1] = True
+        starts, stops = self._cut(data, ends - np.array([len(t) for t in texts]), letter)
+        if not self.spaces_kept:  # letters that kept their case
+            letter[_UPPER[data]] = False
+            letter[latin[_LATIN_UPPER[data[latin + 1]]]] = False
+        others = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(~letter, out=others[1:])
+        body = starts + (data[starts] == 32) if self.spaces_kept else starts
+        word = (others[stops] == others[body]) & (stops > body)
+        names = RollingHash(data).slices(starts, stops)
+        for i in np.flatnonzero(stops - starts > _LONG).tolist():
+            names[i] = np.uint64(hash(joined[starts[i] : stops[i]]) & 0xFFFFFFFFFFFFFFFF)
+        which, _ = pd.factorize(names)
         # numbers are given in order of appearance, so a new one is one more than all before
         where = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
         pieces = [joined[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist(), strict=True)]
         ids = list(map(self.known.get, pieces))
-        if new := [p for p, i in zip(pieces, ids, strict=True) if i is None]:
-            self._learn(new)
+        if None in ids:
+            kinds, words, rest = word[where].tolist(), [], []
+            for i, got in enumerate(ids):
+                if got is None:
+                    old = self.before.pop(pieces[i], None)
+                    if old is not None:
+                        self.known[pieces[i]] = old
+                    else:
+                        (words if kinds[i] else rest).append(pieces[i])
+            self._learn_words(words)
+            self._learn_any(rest)
             ids = list(map(self.known.__getitem__, pieces))
         width = self.dtype.itemsize
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-        firsts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // width
+        firsts = np.cumsum(sizes, dtype=np.int32) - sizes
         lengths = sizes[which]
         stop = np.cumsum(lengths)
         total = int(stop[-1]) if len(stop) else 0
-        flat = np.frombuffer(b"".join(ids), self.dtype)[np.repeat(firsts[which] - (stop - lengths), lengths) + np.arange(total)].tobytes()
+        at = np.repeat(firsts[which] - (stop - lengths).astype(np.int32), lengths)
+        at += np.arange(total, dtype=np.int32)
+        flat = np.frombuffer(b"".join(ids), self.dtype)[at].tobytes()
         of_text = np.append(0, stop)[np.searchsorted(starts, ends, side="left")] * width
         return [flat[a:b] for a, b in zip([0, *of_text[:-1].tolist()], of_text.tolist(), strict=True)]
 
@@ -182,7 +231,7 @@ class PieceEncoder:
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and "<|" in t]
+        whole = [i for i, t in enumerate(texts) if t and (not self.cuts or "<|" in t)]
         for i in whole:
             out[i] = self._packed(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
         left = set(whole)
@@ -194,10 +243,14 @@ class PieceEncoder:
         return out
 
 
+#: The byte-level alphabet for bytes read as Latin-1, with line feeds between words.
+_SHOWN = {b: chr(c) for b, c in _BYTE_LEVEL.items() if b != 10}
+
+
 @functools.lru_cache(4)
-def encoder(path: str, spaces_kept: bool) -> PieceEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process, so what it remembers serves all its tasks."""
-    return PieceEncoder(path, spaces_kept)
+    return PieceEncoder(path)
 
 
 lets_go(encoder.cache_clear)
@@ -262,7 +315,7 @@ _BLOCK = "shard int, block int, before long, n_docs int, n_ids long, doc_ids arr
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, spaces_kept: bool = True, end_id: int = 2, key: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS
 ) -> None:
     """Encode every text, append end_id and write blocks below path, in ascending order of key.
 
@@ -282,7 +335,7 @@ def write_token_files(
     def blocks(batches):
         take_worker("tokens")
         shard, block, before = TaskContext.get().partitionId(), 0, 0
-        enc = encoder(tokenizer, spaces_kept)
+        enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         held, keys, lengths, n = [], [], [], 0
 
@@ -344,8 +397,8 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id", with_i
     return wanted.mapInPandas(decode, schema).withColumnRenamed("key", key)
 
 
-def token_digests(docs: DataFrame, tokenizer: str, spaces_kept: bool = True, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the files to a shared folder and read them back without the ids."""
     path = f"{shared_dir(docs.sparkSession)}/tokens"
-    write_token_files(docs, path, tokenizer, spaces_kept, end_id, key, text)
+    write_token_files(docs, path, tokenizer, end_id, key, text)
     return read_token_files(docs.sparkSession, path, key, with_ids=False)
