@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from verdigris.llm import queries, suffix_dedup
+from verdigris.llm import common, queries, suffix_dedup
 
 
 def want(texts, length=400):
@@ -47,9 +47,28 @@ def test_equals_brute_force(spark, alphabet, group_most):
 
 def test_query_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
-    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op4_suffix_dedup(spark, "/root/testdata/sf0.001").collect()}
+    out = {r["doc_id"]: r for r in queries.op4_suffix_dedup(spark, "/root/testdata/sf0.001").collect()}
+    got = {k: tuple(r)[1:5] for k, r in out.items()}
     assert got == dict(zip([r["doc_id"] for r in docs], want([r["text"] for r in docs]), strict=True))
     assert any(v[1] for v in got.values())
+    passages = want([r["text"] for r in docs], suffix_dedup.PASSAGE)
+    assert {k: r["n_repeated"] for k, r in out.items()} == {r["doc_id"]: p[1] for r, p in zip(docs, passages, strict=True)}
+
+
+@pytest.mark.parametrize("hot,hot_rows", [(1000, 1_000_000), (1, 1_000_000), (20, 5)])
+def test_hot_groups_and_clashing_names(spark, monkeypatch, hot, hot_rows):
+    """Rows over HOT, groups that are hot by share or by number, and columns named like those used inside."""
+    monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage, copy = word(90), word(70)
+    texts = [copy] * 400 + [word(20) + passage + word(20) for _ in range(300)] + [word(30) for _ in range(400)] + random_texts(rng, 60, "abcd")
+    names = ["copies", "digest", "found", "warm", "size", "dealt", "group_0", "n_repeated"]
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in enumerate(texts)], ["doc_id", "text", *names])
+    rows = {r["doc_id"]: r for r in suffix_dedup.remove_repeated(docs, 40, 9).collect()}
+    assert [tuple(rows[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == want(texts, 40)
+    assert all([r[c] for c in names] == list(range(len(names))) for r in rows.values())
 
 
 def test_long_texts_and_empty_table(spark):

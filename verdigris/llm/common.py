@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -20,13 +21,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir; a folder of our own only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = _OWN_DIRS.setdefault("base", tempfile.mkdtemp(prefix="verdigris-"))
     return f"{base.rstrip('/')}/verdigris-{uuid.uuid4().hex}"
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like the one given that no column of the frames has, in any case of letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list:
+    """All columns, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def set_aside(docs: DataFrame, text: str):
+    """(docs with all columns but the text in one, a function that gives the columns back from what an operator made of it).
+
+    So an operator's new columns replace none of docs.  The function takes columns to put in others' places.
+    """
+    own = unused("row", docs)
+    others = [c for c in docs.columns if c != text]
+    packed = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in others] or [F.lit(0).alias("none")]).alias(own), text)
+
+    def back(out: DataFrame, **new) -> DataFrame:
+        return out.select(*[(new[c] if c in new else F.col(text) if c == text else F.col(own).getField(c)).alias(c) for c in docs.columns])
+
+    return packed, back
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet and read it back: cuts lineage and survives lost executors."""
     df.write.parquet(path)
@@ -68,9 +100,18 @@ def take_worker(name: str) -> None:
     _HOLDER[0] = name
 
 
+def _tables_below(path: str) -> str:
+    """The first letters of the names of the tables that bucketed() keeps below a folder of shared_dir()."""
+    return "verdigris_" + (re.findall(r"verdigris-([0-9a-f]{32})", path) or [re.sub(r"\W", "_", path)])[-1]
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder on any file system that Spark writes to."""
+    """Delete a folder on any file system that Spark writes to, and the catalog's entries for tables in it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    for r in spark.sql(f"SHOW TABLES LIKE '{_tables_below(path)}*'").collect():
+        found = spark.sql(f"DESCRIBE TABLE EXTENDED `{r['namespace']}`.`{r['tableName']}`").filter("col_name = 'Location'").first()
+        if found and f"{spark._jvm.org.apache.hadoop.fs.Path(found['data_type']).toUri().getPath()}/".startswith(f"{place.toUri().getPath()}/"):
+            spark.sql(f"DROP TABLE IF EXISTS `{r['namespace']}`.`{r['tableName']}`")
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
@@ -93,14 +134,12 @@ def digest(column):
     return F.unhex(F.md5(column.cast("binary")))
 
 
-_TABLES = 0
-
-
 def bucketed(df: DataFrame, key: str, path: str, buckets: int) -> DataFrame:
-    """Write df bucketed by key below path, so later joins on that key move only their other side."""
-    global _TABLES
-    _TABLES += 1
-    name = f"verdigris_{uuid.uuid4().hex}"
+    """Write df bucketed by key below path, so later joins on that key move only their other side.
+
+    The catalog's entry goes when remove() deletes the folder.
+    """
+    name = f"{_tables_below(path)}_{uuid.uuid4().hex[:12]}"
     df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
@@ -116,29 +155,53 @@ def distinct_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return bucketed(one, "digest", path, shuffle_partitions(docs.sparkSession))
 
 
-#: A group with more than 1/HOT of all rows counts as hot; there are fewer than HOT such groups.
-HOT = 1000
+#: A group counts as hot with more than 1/HOT of all rows, of which there are fewer than HOT, or with more than HOT_ROWS.
+HOT, HOT_ROWS = 1000, 1_000_000
+
+
+def is_hot(size, total: int):
+    """Whether groups of that size are hot among so many rows; at most max(HOT, total / HOT_ROWS) are."""
+    return size > min(total / HOT, HOT_ROWS)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, group_key: str, size: str) -> DataFrame:
-    """rows joined with the one row of groups that has their key; every key must be there.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, names: list[str], total: int | None = None) -> DataFrame:
+    """rows and the columns `names` of the one row of groups with their keys; rows without one go.
 
     groups has the number of rows of each key in column `size`.  Rows of hot keys join a broadcast of
-    fewer than HOT groups and are not shuffled by key.  groups must be cheap to compute twice or stored.
+    few groups (see is_hot) and are dealt evenly, not by key.  groups must be cheap to compute twice or
+    stored.  Columns of rows may have any names but the keys' and those in `names`.
     """
-    total = rows.count()
-    groups = groups.withColumnRenamed(group_key, "__group")
+    total = rows.count() if total is None else total
+    found, warm = unused("found", rows), unused("warm", rows)
+    own = [unused(f"group_{i}", rows) for i in range(len(keys))]
+    packed = groups.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(size).alias(unused("size", rows)), F.struct(*names).alias(found))
+    out = [F.col(f"{found}.{n}").alias(n) for n in names]
+    same = [F.col(k) == F.col(o) for k, o in zip(keys, own, strict=True)]
     if total < HOT:
-        return rows.join(groups, F.col(key) == F.col("__group")).drop("__group")
-    hot = groups.filter(F.col(size) * HOT > total)
-    cold = groups.filter(F.col(size) * HOT <= total)
-    names = [c for c in groups.columns if c != "__group"]
-    marked = rows.join(F.broadcast(hot.select("__group", F.struct(*names).alias("__hot"))), F.col(key) == F.col("__group"), "left").drop("__group")
-    own = F.concat(F.lit("hot "), F.monotonically_increasing_id().cast("string")).cast("binary")
-    marked = marked.withColumn("__key", F.when(F.col("__hot").isNotNull(), own).otherwise(F.col(key)))
-    joined = marked.join(cold, F.col("__key") == F.col("__group"), "left").drop("__group", "__key")
-    rest = [F.col(f"`{c}`") for c in rows.columns]
-    return joined.select(*rest, *[F.when(F.col("__hot").isNotNull(), F.col(f"__hot.{c}")).otherwise(F.col(f"`{c}`")).alias(c) for c in names])
+        return rows.join(packed, same).select(*columns_of(rows), *out)
+    size = F.col(unused("size", rows))
+    hot = packed.filter(is_hot(size, total)).select(*own, F.col(found).alias(warm))
+    cold = packed.filter(~is_hot(size, total)).select(*own, found)
+    marked = rows.join(F.broadcast(hot), same, "left").drop(*own)
+    # rows of hot keys get keys of their own; one that meets a group by chance does no harm, as its own group is known
+    dealt = unused("dealt", rows)
+    number = F.monotonically_increasing_id()
+    kind = dict(rows.dtypes)[keys[0]]
+    alone = F.xxhash64(number) if kind == "bigint" else F.concat(F.lit("\u0000hot "), number.cast("string")).cast(kind)
+    marked = marked.withColumn(dealt, F.when(F.col(warm).isNotNull(), alone).otherwise(F.col(keys[0])))
+    joined = marked.join(cold, [F.col(dealt) == F.col(own[0]), *same[1:]], "left")
+    got = F.coalesce(F.col(warm), F.col(found))
+    return joined.withColumn(found, got).filter(F.col(found).isNotNull()).select(*columns_of(rows), *out)
+
+
+def covered(spans, low: str, high: str):
+    """How many places an array of spans covers; they may overlap."""
+    return F.aggregate(
+        F.array_sort(spans), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
+        lambda a, s: F.struct(
+            (a["n"] + F.greatest(F.lit(0), s[high] - F.greatest(a["to"], s[low]))).cast("long").alias("n"),
+            F.greatest(a["to"], s[high]).alias("to")),
+    )["n"]
 
 
 # ---- numpy kernels over concatenated bytes ---------------------------------------------------

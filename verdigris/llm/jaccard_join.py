@@ -477,13 +477,13 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ke
     """
     path = shared_dir(docs.sparkSession)
     _, classes = _classes(docs, path, text, words, percent, group_most)
-    rows = docs.select(F.col(key).alias(key), digest(text_or_empty(text)).alias("__digest"))
-    least = rows.groupBy(F.col("__digest").alias("digest")).agg(F.min(key).alias("least"))
+    rows = docs.select(F.col(key).alias("key"), digest(text_or_empty(text)).alias("digest"))
+    least = rows.groupBy("digest").agg(F.min("key").alias("least"))
     known = written(classes.join(least, "digest"), f"{path}/classes")
     ids = known.groupBy("label").agg(F.min("least").alias("component_id"))
     named = written(known.join(ids, "label").select("digest", "copies", F.col("n").alias("n_shingles"), "component_id"), f"{path}/named")
-    out = join_groups(rows, named, "__digest", "digest", "copies")
-    return out.select(key, "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+    out = join_groups(rows, named, ["digest"], "copies", ["n_shingles", "component_id"])
+    return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", group_most: int = GROUP_MOST, path: str | None = None) -> DataFrame:
@@ -496,7 +496,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: s
     texts, classes = _classes(docs, path, text, words, percent, group_most)
     others = [c for c in docs.columns if c not in (key, text)]
     # the least row of each text, without its text
-    first = docs.withColumn("__digest", digest(text_or_empty(text))).groupBy(F.col("__digest").alias("digest")).agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])).alias("row"))
+    first = docs.groupBy(digest(text_or_empty(text)).alias("digest")).agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])).alias("row"))
     known = written(classes.filter("n > 0").join(first, "digest"), f"{path}/classes")
     best = known.groupBy("label").agg(F.min(F.struct("row", "digest")).alias("best")).select("best.*")
     kept = texts.select("digest", "text").join(best.hint("shuffle_hash"), "digest")

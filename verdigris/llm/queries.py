@@ -38,9 +38,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur again, removed from every document."""
-    out = suffix_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Strings of 400 bytes that occur again, removed from every document, and the bytes of passages of some fifty words that do."""
+    out = suffix_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=suffix_dedup.PASSAGE)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
 
 
 def op5_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
-from .common import RollingHash, bound_batches, digest, distinct_texts, join_groups, parts_by_bytes, shared_dir, shuffle_partitions, take_worker, text_or_empty, written
+from .common import RollingHash, bound_batches, covered, digest, distinct_texts, join_groups, parts_by_bytes, remove, shared_dir, shuffle_partitions, take_worker, text_or_empty, tidy, unused, written
 
 #: Bytes of a repeated string, and of the grams that windows pick.
 LENGTH, GRAM = 400, 64
+#: Bytes that some fifty words hold at most, and of the grams of such windows.
+PASSAGE, PASSAGE_GRAM = 240, 48
 #: Contexts of one gram in one task, and contexts of one task on average.
 GROUP_MOST, TASK_CONTEXTS = 20_000, 20_000
 #: Contexts in a batch of the index.
@@ -67,10 +70,8 @@ def find_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
     n_windows = np.maximum(sizes - length + 1, 0)
     if not n_windows.any():
         return empty
-    hashes = RollingHash(data)
-    grams = hashes.grams(gram)
-    bits = max(24, int(len(grams)).bit_length())
-    low = np.uint64((1 << bits) - 1)
+    grams = RollingHash(data).grams(gram)
+    low = np.uint64((1 << 31) - 1)  # a text has fewer bytes; of equal hashes the first is picked, in long texts and short ones
     key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     picked = (_window_minimum(key, length - gram + 1) & low).astype(np.int64)
     valid = np.zeros(len(picked) + 1, np.int64)
@@ -84,7 +85,8 @@ def find_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
     last = np.concatenate([first[1:] - 1, [len(at) - 1]])
     position, low_window, high_window = at[first], window[first], window[last]
     text = np.searchsorted(ends, position, side="right")
-    context = hashes.slices(low_window, high_window + length)
+    view = memoryview(data)
+    context = np.fromiter((xxh3_64_intdigest(view[a:b]) for a, b in zip(low_window.tolist(), (high_window + length).tolist(), strict=True)), np.uint64, len(position))
     least, largest = position - high_window, position - low_window
     context ^= (least * (1 << 24) + largest).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return text, position - starts[text], least, largest, grams[position], context
@@ -280,22 +282,23 @@ def repeated_spans(texts: DataFrame, path: str, length: int = LENGTH, gram: int
     length_ok = F.octet_length("text") >= length
     bodies = texts.filter(length_ok).select("digest", F.col("text").cast("binary").alias("body"))
     anchors = written(bodies.mapInArrow(_anchor_rows(length, gram), _ANCHOR), f"{path}/anchors")
-    grams = anchors.groupBy("gram").agg(F.sum(F.size("at")).alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
-    again = grams.filter("n > 1").select("gram", (F.col("a") == F.col("b")).alias("alike"))
-    shared = written(anchors.join(again, "gram"), f"{path}/shared")
+    grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("at")).alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
+    again = written(grams.filter("n > 1").select("gram", "rows", (F.col("a") == F.col("b")).alias("alike")), f"{path}/grams")
+    shared = written(join_groups(anchors, again, ["gram"], "rows", ["alike"]), f"{path}/shared")
+    remove(anchors.sparkSession, f"{path}/anchors")
     span = lambda at: ((at - F.col("largest")).alias("low"), (at - F.col("least") + length).alias("high"))
     mixed = shared.filter("not alike")
     contexts = mixed.groupBy("gram", "context").agg(
-        F.sum(F.size("at")).alias("n"), F.min(F.struct("digest", F.col("at")[0].alias("at"), "least", "largest")).alias("first")
+        F.count(F.lit(1)).alias("rows"), F.sum(F.size("at")).alias("n"), F.min(F.struct("digest", F.col("at")[0].alias("at"), "least", "largest")).alias("first")
     )
     contexts = written(contexts, f"{path}/contexts")
     equal = shared.filter("alike").select("digest", "least", "largest", "at").unionByName(
-        mixed.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("digest", "least", "largest", "at")
+        join_groups(mixed, contexts.filter("n > 1"), ["gram", "context"], "rows", ["n"]).select("digest", "least", "largest", "at")
     )
     equal = equal.withColumn("at", F.explode("at")).select("digest", *span(F.col("at")))
     # grams all of whose contexts occur more than once are settled
-    open_grams = contexts.filter("n = 1").select("gram").distinct()
-    rims = contexts.join(open_grams, "gram", "left_semi").select("gram", "first.digest", "first.at", "first.least", "first.largest", (F.col("n") > 1).alias("whole"))
+    open_grams = written(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least_n")).filter("least_n = 1"), f"{path}/open")
+    rims = join_groups(contexts, open_grams, ["gram"], "rows", ["least_n"]).select("gram", "first.digest", "first.at", "first.least", "first.largest", (F.col("n") > 1).alias("whole"))
     body = F.col("text").cast("binary")
     begin, size = F.col("at") - F.col("largest") + 1, F.col("largest") - F.col("least") + length
     members = rims.hint("shuffle_hash").join(texts, "digest").select("gram", "digest", "at", "least", "largest", "whole", F.call_function("substring", body, begin, size).alias("bytes"))
@@ -323,26 +326,45 @@ def _without(body: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame
     return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", group_most: int = GROUP_MOST, path: str | None = None) -> DataFrame:
+def _spans_by_text(texts: DataFrame, path: str, name: str, length: int, gram: int, group_most: int) -> DataFrame:
+    """(digest, spans) of the texts with repeated bytes; what led to it goes."""
+    spans = repeated_spans(texts, f"{path}/{name}", length, gram, group_most)
+    # spans of a text are bounded by its length
+    by_text = written(spans.groupBy("digest").agg(F.collect_set(F.struct("low", "high")).alias("spans")), f"{path}/{name}-spans")
+    remove(texts.sparkSession, f"{path}/{name}")
+    tidy(texts.sparkSession)
+    return by_text
+
+
+def remove_repeated(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", group_most: int = GROUP_MOST, path: str | None = None, passage: int | None = None, passage_gram: int = PASSAGE_GRAM
+) -> DataFrame:
     """Add n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) to every row, without its text.
 
     Every byte goes that a string of `length` bytes covers which starts anywhere else, in the same text
     or another; strings are judged on the input.  Null texts are empty.  A text that occurs in several
     rows is removed whole from each if it has `length` bytes.  Texts shorter than that stay.  Other
     columns stay, those of the new names are replaced.  An empty table gives no rows.
+    passage: adds n_repeated, how many bytes strings of this other length cover that start anywhere else.
     path: a folder for tables that the result reads, which may go once the result is written.
     """
     spark = docs.sparkSession
     path = path or shared_dir(spark)
     bound_batches(spark)
     texts = distinct_texts(docs, f"{path}/texts", text)
-    spans = repeated_spans(texts, path, length, gram, group_most)
-    # spans of a text are bounded by its length
-    by_text = spans.groupBy("digest").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    by_text = _spans_by_text(texts, path, "cut", length, gram, group_most)
     n_bytes = F.octet_length("text").cast("long")
     all_gone = (F.col("copies") > 1) & (n_bytes >= length)
     body = F.col("text").cast("binary")
-    judged = texts.join(by_text.hint("shuffle_hash"), "digest", "left")
+    judged = texts
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    if passage:
+        repeated = _spans_by_text(texts, path, "passages", passage, passage_gram, group_most)
+        repeated = repeated.select("digest", covered(F.col("spans"), "low", "high").alias("in_passages"))
+        judged = judged.join(repeated.hint("shuffle_hash"), "digest", "left")
+        names.insert(3, "n_repeated")
+        n_repeated = F.when((F.col("copies") > 1) & (n_bytes >= passage), n_bytes).otherwise(F.coalesce("in_passages", F.lit(0))).cast("long").alias("n_repeated")
+    judged = judged.join(by_text.hint("shuffle_hash"), "digest", "left")
     some = F.col("spans").isNotNull() & ~all_gone
     nothing = F.array().cast("array<int>")
     judged = judged.withColumn("cut", _without(F.when(some, body), F.when(some, F.col("spans.low")).otherwise(nothing), F.when(some, F.col("spans.high")).otherwise(nothing)))
@@ -350,9 +372,9 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
     judged = judged.select(
         "digest", "copies", n_bytes.alias("n_bytes"),
         F.when(all_gone, n_bytes).otherwise(F.col("cut.n_removed")).alias("n_removed"),
-        F.when(all_gone, 1).otherwise(F.col("cut.n_spans")).cast("long").alias("n_spans"), kept.alias("kept"),
+        F.when(all_gone, 1).otherwise(F.col("cut.n_spans")).cast("long").alias("n_spans"), kept.alias("kept"), *([n_repeated] if passage else []),
     ).withColumn("kept_sha256", F.sha2("kept", 256))
-    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    rows = docs.withColumn("__digest", digest(text_or_empty(text))).drop(text, *names)
+    own = unused("digest", docs)
+    rows = docs.withColumn(own, digest(text_or_empty(text))).drop(text, *names)
     # what a hot text leaves is empty or shorter than `length`
-    return join_groups(rows, judged, "__digest", "digest", "copies").drop("__digest", "copies")
+    return join_groups(rows, judged.withColumnRenamed("digest", own), [own], "copies", names).drop(own)
