@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, parts_by_bytes, take_worker
+from .common import bound_batches, columns_of, parts_by_bytes, take_worker, unused
 
-#: Bounds of the training sample: rows of each language, and of all.
+#: Bounds of the training sample: rows of each language, rows of all, and bytes of one text.
 ROWS_PER_LANGUAGE = 300
 MOST_ROWS = 3000
+MOST_BYTES = 1 << 16
 #: Hashed n-gram features, and the lengths of the n-grams in bytes.
 FEATURES = 1 << 13
 ORDERS = (2, 3, 4)
@@ -56,18 +57,24 @@ def codewords(n: int, bits: int | None = None, seed: int = 7) -> np.ndarray:
     return best
 
 
-def _features(texts: list[str]):
-    """(hashed feature of every n-gram, first n-gram of every text) of lower-cased letters and single spaces."""
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(joined bytes, first and last byte + 1 of every text) of lower-cased letters and single spaces; zeros part the texts."""
+    apart = b"\0" * (max(ORDERS) - 1)
     data = [(" " + _NOT_LETTERS.sub(" ", t.lower()).strip() + " ").encode() for t in texts]
-    ends = np.cumsum([len(d) for d in data])
-    raw = np.frombuffer(b"".join(data), np.uint8)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    packed = np.zeros(len(raw) + 4, np.uint32)
-    packed[: len(raw)] = raw
-    grams = packed[:-4].copy()
+    sizes = np.array([len(d) for d in data], np.int64)
+    ends = np.cumsum(sizes + len(apart)) - len(apart)
+    return np.frombuffer(apart.join([*data, b""]), np.uint8), ends - sizes, ends
+
+
+def _grams(raw: np.ndarray, low: int, high: int) -> np.ndarray:
+    """The bytes that start at each place from low to high, as many as the longest n-gram has, as one number."""
+    packed = np.zeros(high - low + max(ORDERS), np.uint32)
+    some = raw[low : high + max(ORDERS) - 1]
+    packed[: len(some)] = some
+    grams = packed[: high - low].copy()
     for k in range(1, max(ORDERS)):
-        grams |= packed[k : len(raw) + k] << np.uint32(8 * k)
-    return grams, starts, ends
+        grams |= packed[k : high - low + k] << np.uint32(8 * k)
+    return grams
 
 
 def _hashed(grams: np.ndarray, order: int) -> np.ndarray:
@@ -79,7 +86,8 @@ def count_matrix(texts: list[str]) -> np.ndarray:
     """texts x FEATURES: n-gram counts, each row divided by its length."""
     out = np.zeros((len(texts), FEATURES), np.float32)
     for i, t in enumerate(texts):
-        grams, _, _ = _features([t])
+        raw, _, ends = _letters([t])
+        grams = _grams(raw, 0, int(ends[0]))
         for order in ORDERS:
             out[i] += np.bincount(_hashed(grams, order), minlength=FEATURES)
         out[i] /= max(1, len(grams))
@@ -119,12 +127,20 @@ def margins(model: Model, texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), len(model.bias)))
     columns = np.ascontiguousarray(model.weights.T)
     for part in parts_by_bytes(np.array([len(t) for t in texts], np.int64), _CHUNK):
-        grams, starts, ends = _features(texts[part])
-        for order in ORDERS:
-            hashed = _hashed(grams, order)
-            for bit in range(out.shape[1]):
-                out[part, bit] += np.add.reduceat(columns[bit][hashed], starts, dtype=np.float64)
-        out[part] /= np.maximum(1, ends - starts)[:, None]
+        raw, starts, ends = _letters(texts[part])
+        some = out[part]
+        for low in range(0, len(raw), 2 * _CHUNK):  # a very long text goes in several
+            high = min(low + 2 * _CHUNK, len(raw))
+            a, b = int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(starts, high))
+            if a == b:
+                continue
+            grams = _grams(raw, low, high)
+            spans = np.stack([np.maximum(starts[a:b], low) - low, np.minimum(ends[a:b], high) - low], 1).ravel()
+            for order in ORDERS:
+                hashed = _hashed(grams, order)
+                for bit in range(out.shape[1]):
+                    some[a:b, bit] += np.add.reduceat(np.append(columns[bit][hashed], 0), spans, dtype=np.float64)[::2]
+        some /= np.maximum(1, ends - starts)[:, None]
     return out + model.bias
 
 
@@ -139,13 +155,13 @@ def decode(model: Model, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return best, ordered[:, -1], ordered[:, -1] - second
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
-    """Fit on a bounded sample: at most rows_per_language different texts of each language, most_rows in all.
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Model:
+    """Fit on a bounded sample: at most rows_per_language different texts of each language, most_rows in all, none of over most_bytes.
 
     Texts are picked by their hash, so any order of the input gives the same model, and copies count
     once.  Rows without a language, or whose text has no letter, teach nothing.
     """
-    rows = labelled.filter(F.col(lang).isNotNull() & F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = labelled.filter(F.col(lang).isNotNull() & (F.octet_length(F.col(text)) <= most_bytes) & F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     # different texts, nearly; the languages of most texts come first if there are too many
     counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("count")).orderBy(F.desc("count"), "lang").limit(max(1, most_rows // 10)).collect()
     each = min(rows_per_language, most_rows // max(1, len(counts)))
@@ -185,4 +201,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text", least_margin: fl
 
     # not to be run again for a filter on its result
     got = predict.asNondeterministic()(F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"), F.col(text))
-    return docs.withColumn("__lang", got).select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"__lang.{c}") for c in new])
+    told = unused("told", docs)
+    return docs.withColumn(told, got).select(*columns_of(docs), *[F.col(f"{told}.{c}") for c in new])
