@@ -11,20 +11,21 @@ from __future__ import annotations
 
 import dataclasses
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, take_worker
+from .common import bound_batches, columns_of, covered, set_aside, take_worker, unused
 
 #: Words that make a window.
 WINDOW = 13
 #: A document is contaminated when at least one word in so many is hit.
 ONE_IN = 20
 #: Bytes of benchmark text searched for in one pass; a larger benchmark takes several passes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -57,26 +58,25 @@ def _codes(first: list[np.ndarray], base: int) -> np.ndarray:
 def test_suffixes(items: list[tuple[str, str | None]], window: int = WINDOW) -> TestSuffixes:
     """Index the (id, text) pairs of one block; items without words have no suffix."""
     numbers: dict[bytes, int] = {}
-    rows, lengths, owner, start = [], [], [], []
-    for i, (_, text) in enumerate(items):
-        line = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
-        if not line:
-            continue
-        n = min(window, len(line))
-        for at in range(len(line) - n + 1):
-            rows.append(line[at : at + n] + [0] * (window - n))
-            lengths.append(n)
-            owner.append(i)
-            start.append(at)
-    keys = np.array(rows, np.int64).reshape(-1, window)
+    flat, sizes = array("i"), []
+    for _, text in items:
+        words = words_of(text)
+        flat.extend(numbers.setdefault(w, len(numbers) + 1) for w in words)
+        sizes.append(len(words))
+    size, line = np.array(sizes, np.int64), np.append(np.frombuffer(flat, np.int32), np.zeros(window, np.int32))
+    owner = np.repeat(np.arange(len(size)), np.where(size > 0, np.maximum(size - window, 0) + 1, 0))
+    start = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    lengths = np.minimum(window, size)[owner]
+    keys = line[((np.cumsum(size) - size)[owner] + start)[:, None] + np.arange(window)]
+    keys[np.arange(window) >= lengths[:, None]] = 0
     order = np.lexsort(keys.T[::-1]) if len(keys) else np.zeros(0, np.int64)
-    keys, lengths = keys[order], np.array(lengths, np.int64)[order]
+    keys, lengths = keys[order], lengths[order]
     # as many first words as the shortest window has, as long as their code fits in 64 bits
     head = min(3, int(lengths.min()) if len(lengths) else 1)
     while head > 1 and (len(numbers) + 1) ** head >= 1 << 63:
         head -= 1
     heads = np.unique(_codes([keys[:, j] for j in range(head)], len(numbers) + 1))
-    return TestSuffixes(numbers, [i for i, _ in items], keys, lengths, np.array(owner, np.int64)[order], np.array(start, np.int64)[order], heads, head)
+    return TestSuffixes(numbers, [i for i, _ in items], keys, lengths, owner[order], start[order], heads, head)
 
 
 @dataclasses.dataclass
@@ -241,34 +241,33 @@ def find_benchmark(
     state = f"n_words long, spans array<struct<start:int,end:int>>, items array<string>, matches {match}"
     spark = docs.sparkSession
     bound_batches(spark)
-    current = docs.withColumn("__hit", F.lit(None).cast(f"struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>,matches:{match}>"))
+    hit, more = unused("hit", docs), unused("more", docs)
+    spans = "array<struct<start:int,end:int>>"
+    current = docs.withColumn(hit, F.lit(None).cast(f"struct<n_words:bigint,spans:{spans},items:array<string>,matches:{match}>"))
+    of = lambda state, field: F.col(f"{state}.{field}")
+    known = lambda field, kind: F.coalesce(of(hit, field), F.array().cast(kind))
     for block in blocks_of(benchmark, item, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(test_suffixes(block, window))  # of at most block_bytes of text
 
         # not to be run again for a filter on its result
-        current = current.withColumn("__new", _looker(shared, state)(F.col(text))).withColumn("__hit", F.struct(
-            F.col("__new.n_words").alias("n_words"),
-            F.concat(F.coalesce(F.col("__hit.spans"), F.array().cast("array<struct<start:int,end:int>>")), F.col("__new.spans")).alias("spans"),
-            F.array_union(F.coalesce(F.col("__hit.items"), F.array().cast("array<string>")), F.col("__new.items")).alias("items"),
-            F.concat(F.coalesce(F.col("__hit.matches"), F.array().cast(match)), F.col("__new.matches")).alias("matches"),
-        )).drop("__new")
-    n_hit = F.aggregate(
-        F.array_sort("__hit.spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
-        lambda a, s: F.struct(
-            (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["to"], s["start"]))).cast("long").alias("n"),
-            F.greatest(a["to"], s["end"]).alias("to")),
-    )["n"]
-    out = current.withColumn("n_words", F.col("__hit.n_words")).withColumn("n_hit", n_hit)
-    items = F.array_sort(F.array_distinct("__hit.items"))
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
+        current = current.withColumn(more, _looker(shared, state)(F.col(text))).withColumn(hit, F.struct(
+            of(more, "n_words").alias("n_words"),
+            F.concat(known("spans", spans), of(more, "spans")).alias("spans"),
+            F.array_union(known("items", "array<string>"), of(more, "items")).alias("items"),
+            F.concat(known("matches", match), of(more, "matches")).alias("matches"),
+        )).drop(more)
+    items = F.array_sort(F.array_distinct(of(hit, "items")))
+    current = current.withColumn("n_hit", covered(of(hit, "spans"), "start", "end"))
+    n_hit, n_words = F.col("n_hit"), of(hit, "n_words")
+    return current.select(
+        *columns_of(docs), n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        F.col("__hit.spans").alias("hit_spans"), F.col("__hit.matches").alias("matches"),
+        ((n_hit > 0) & (ONE_IN * n_hit >= n_words)).alias("contaminated"),
+        of(hit, "spans").alias("hit_spans"), of(hit, "matches").alias("matches"),
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of docs that are not contaminated, with the columns of docs."""
-    found = find_benchmark(docs, benchmark, **options)
-    return found.filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed, back = set_aside(docs, text)
+    return back(find_benchmark(packed, benchmark, text, **options).filter(~F.col("contaminated")))
