@@ -92,13 +92,14 @@ def fuzzy_places(text: str, notices: tuple[tuple[str, str], ...] = NOTICES, char
     """(notice, start, end, edits) of the places of normalised text within a notice's edits, on whole words."""
     automaton, fuzzy = _searcher(notices, chars_per_edit)
     near: dict[int, set[tuple[int, int]]] = {}
+    text = f" {text} "  # the library inserts nothing at the very start of a search, so windows start on a blank
     for last, (length, where) in automaton.iter(text):
         for which, at in where:
             begin, k = last - length + 1 - at, fuzzy[which][0]
-            near.setdefault(which, set()).add((max(0, begin - k), begin + len(notices[which][0]) + k))
+            near.setdefault(which, set()).add((max(0, begin - k - 1), begin + len(notices[which][0]) + k))
     found = []
     for which, windows in near.items():
-        found += [(which, *place) for place in _apart(text, fuzzy[which][1], windows)]
+        found += [(which, start - 1, end - 1, edits) for start, end, edits in _apart(text, fuzzy[which][1], windows)]
     return found
 
 
@@ -141,9 +142,11 @@ def scan_text(text: str | None, notices=NOTICES, phrases=PHRASES, chars_per_edit
     line, n_words = normalised(text)
     padded, starts, base = f" {line} ", [], set()
     for phrase, label in phrases:
-        at = padded.find(f" {phrase} ")
+        at, counted, word = padded.find(f" {phrase} "), 0, -1
         while at >= 0:
-            starts.append(padded.count(" ", 0, at + 1) - 1)
+            word += padded.count(" ", counted, at + 1)
+            counted = at + 1
+            starts.append(word)
             base.add(label)
             at = padded.find(f" {phrase} ", at + 1)
     notices = (*notices, *phrases)
