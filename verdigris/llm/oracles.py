@@ -12,10 +12,10 @@ WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, s
 seen AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{U.UPPER}', '{U.LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 worst AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
 hosts AS (
-  SELECT host, count(w.bad) AS n, coalesce(sum(w.bad), 0) AS bad,
-    CASE WHEN regexp_extract(host, '(?:^|\\.)((?:{_SECOND})\\.[a-z]{{2}})$', 1) <> '' THEN regexp_extract(host, '(?:^|\\.)((?:{_SECOND})\\.[a-z]{{2}})$', 1) ELSE list_last(string_split(host, '.')) END AS suffix
+  SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name, count(w.bad) AS n, coalesce(sum(w.bad), 0) AS bad
   FROM seen LEFT JOIN worst w USING (page_id) GROUP BY host),
-named AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), greatest(1, len(string_split(host, '.')) - CASE WHEN contains(suffix, '.') THEN 2 ELSE 1 END), len(string_split(host, '.'))), '.') AS domain FROM hosts),
+ends AS (SELECT *, CASE WHEN regexp_extract(name, '(?:^|\\.)((?:{_SECOND})\\.[a-z]{{2}})$', 1) <> '' THEN regexp_extract(name, '(?:^|\\.)((?:{_SECOND})\\.[a-z]{{2}})$', 1) ELSE list_last(string_split(name, '.')) END AS suffix FROM hosts),
+named AS (SELECT *, array_to_string(list_slice(string_split(name, '.'), greatest(1, len(string_split(name, '.')) - CASE WHEN contains(suffix, '.') THEN 2 ELSE 1 END), len(string_split(name, '.'))), '.') AS domain FROM ends),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1),
 units AS (SELECT 1 AS level, n, bad FROM suffixes UNION ALL SELECT 2, n, bad FROM domains UNION ALL SELECT 3, n, bad FROM named),

@@ -12,16 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import join_groups, remove, shared_dir, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Second-level labels under which names are registered, as in `co.uk`; fixed values.
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 Z = 1.645
 THRESHOLD = 0.5
 LEAST_RHO, MOST_RHO, DEFAULT_RHO = 0.001, 0.2, 0.1
-#: A host with more than 1/HOT of all pages counts as hot; there can be at most HOT of them.
-HOT = 1000
 
 
 def host_of(url: Column) -> Column:
@@ -36,8 +34,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(rest, F.lit("")), r"^[^/?#]*([^?#]*)", 1)
 
 
+def name_of(host: Column) -> Column:
+    """The host without what stands before `@` and without a port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+
+
 def suffix_of(host: Column) -> Column:
-    """The last label, or the last two where the second is one of SECOND_LEVEL below a two-letter one."""
+    """Of a host's name the last label, or the last two where the second is one of SECOND_LEVEL below a two-letter one."""
     pair = F.regexp_extract(host, r"(?:^|\.)((?:%s)\.[a-z]{2})$" % "|".join(SECOND_LEVEL), 1)
     return F.when(pair != "", pair).otherwise(F.substring_index(host, ".", -1))
 
@@ -81,21 +84,33 @@ def prior_strength(units: DataFrame) -> float:
 
 
 def host_reputation(labelled: DataFrame, z: float = Z) -> DataFrame:
-    """host, n_pages, n, bad, mean, lower of every host, from rows (host, bad) where bad is 1, 0 or null (not labelled)."""
+    """host, n_pages, n, bad, mean, lower of every host, from rows (host, bad) where bad is 1, 0 or null (not labelled).
+
+    Without a labelled row every mean is the prior of one half.  An empty table gives no rows.
+    """
     hosts = labelled.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    hosts = written(hosts, f"{shared_dir(labelled.sparkSession)}/hosts")  # read by five jobs below
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    name = name_of(F.col("host"))
+    hosts = hosts.withColumn("domain", domain_of(name)).withColumn("suffix", suffix_of(name))
+    spark, path = labelled.sparkSession, shared_dir(labelled.sparkSession)
+    hosts = written(hosts, f"{path}/hosts")  # read by the jobs below
+    domains = hosts.groupBy("domain", "suffix").agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domains = written(domains, f"{path}/domains")
+    suffixes = domains.groupBy("suffix").agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = ((whole["bad"] or 0) + 0.5) / ((whole["n"] or 0) + 1)
     k_suffix, k_domain, k_host = prior_strength(suffixes), prior_strength(domains), prior_strength(hosts)
-    suffix_mean = suffixes.select("suffix", ((F.col("bad") + overall * k_suffix) / (F.col("n") + k_suffix)).alias("suffix_mean"))
-    domain_mean = domains.join(suffix_mean, "suffix").select("domain", ((F.col("bad") + F.col("suffix_mean") * k_domain) / (F.col("n") + k_domain)).alias("domain_mean"))
+    # a suffix like `com` has a large share of all domains, and a domain may have one of all hosts
+    suffix_mean = suffixes.select("suffix", "units", ((F.col("bad") + overall * k_suffix) / (F.col("n") + k_suffix)).alias("suffix_mean"))
+    domain_mean = join_groups(domains, written(suffix_mean, f"{path}/suffixes"), ["suffix"], "units", ["suffix_mean"])
+    domain_mean = domain_mean.select("domain", "units", ((F.col("bad") + F.col("suffix_mean") * k_domain) / (F.col("n") + k_domain)).alias("domain_mean"))
+    rated = join_groups(hosts, written(domain_mean, f"{path}/means"), ["domain"], "units", ["domain_mean"])
     a = F.col("bad") + F.col("domain_mean") * k_host
     b = F.col("n") - F.col("bad") + (1 - F.col("domain_mean")) * k_host
     mean, deviation = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.join(domain_mean, "domain").select("host", "n_pages", "n", "bad", mean.alias("mean"), (mean - z * deviation).alias("lower"))
+    rated = written(rated.select("host", "n_pages", "n", "bad", mean.alias("mean"), (mean - z * deviation).alias("lower")), f"{path}/rated")
+    for part in ("hosts", "domains", "suffixes", "means"):
+        remove(spark, f"{path}/{part}")
+    return rated
 
 
 def filter_urls(
@@ -115,16 +130,9 @@ def filter_urls(
     """
     worst = outcomes.filter(F.col(page).isNotNull()).groupBy(page).agg(F.max("bad").alias("bad"))
     seen = pages.select(F.col(page), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    rated = host_reputation(seen.join(worst, page, "left").select("host", "bad"), z).select("host", "n_pages", "mean", "lower")
-    n_pages = seen.count()
-    hot = rated.filter(F.col("n_pages") * HOT > n_pages)  # fewer than HOT rows, whatever the input
-    hot = hot.select("host", F.col("mean").alias("hot_mean"), F.col("lower").alias("hot_lower"))
-    cold = rated.filter(F.col("n_pages") * HOT <= n_pages).select(F.col("host").alias("cold_host"), "mean", "lower")
-    joined = seen.join(F.broadcast(hot), "host", "left")
-    # pages of hot hosts have their reputation: a key of their own deals them evenly
-    joined = joined.withColumn("cold_key", F.when(F.col("hot_mean").isNotNull(), F.concat(F.lit("\u0000"), F.coalesce(F.col(page).cast("string"), F.lit("")))).otherwise(F.col("host")))
-    joined = joined.join(cold, F.col("cold_key") == F.col("cold_host"), "left")
-    rate, lower = F.coalesce("hot_mean", "mean"), F.coalesce("hot_lower", "lower")
+    rated = host_reputation(seen.join(worst, page, "left").select("host", "bad"), z)
+    joined = join_groups(seen, rated, ["host"], "n_pages", ["mean", "lower"])
+    rate, lower = F.col("mean"), F.col("lower")
     rule, says = fitting_rule(F.col("host"), F.col("path"), rules)
     method = F.when(lower > threshold, "block").otherwise("allow")
     return joined.select(page, "host", "path", rule.alias("rule"), F.coalesce(says, method).alias("verdict"), rate.alias("bad_rate"), lower.alias("bad_rate_lower"))
