@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pytest
 
 from verdigris.llm import additive_ann, queries
 
@@ -13,24 +15,43 @@ def brute(ids, x, k=20, every=20):
     return out
 
 
+def recall_of(rows, want):
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(want)
+    for near in got.values():
+        assert [g[0] for g in near] == list(range(1, 21))
+        assert [(-g[2], g[1]) for g in near] == sorted((-g[2], g[1]) for g in near)
+    return got, sum(len({v for v, _ in near} & {g[1] for g in got[q]}) for q, near in want.items()) / (20 * len(want))
+
+
 def test_recall_against_brute_force(spark):
-    for data in ("/root/testdata/sf0.01", "/root/testdata/check_s"):
-        pdf = spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").toPandas()
-        ids, x = pdf["vec_id"].to_numpy(), np.stack(pdf["embedding"].to_list()).astype(float)
-        want, got = brute(ids, x), {}
-        for r in queries.op10_additive_ann(spark, data).orderBy("query_id", "rank").collect():
-            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-        assert set(got) == set(want)
-        hits = 0
-        for q, near in want.items():
-            assert [g[0] for g in got[q]] == list(range(1, 21))
-            hits += len({v for v, _ in near} & {g[1] for g in got[q]})
-            assert [(-g[2], g[1]) for g in got[q]] == sorted((-g[2], g[1]) for g in got[q])
-        recall = hits / (20 * len(want))
-        print("recall", data, recall)
-        assert recall >= 0.95
-        at = dict(zip(ids.tolist(), x, strict=True))
-        assert all(abs(s - at[q] @ at[v]) < 1e-9 for q, g in got.items() for _, v, s in g)
+    data = "/root/testdata/sf0.01"
+    pdf = spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").toPandas()
+    ids, x = pdf["vec_id"].to_numpy(), np.stack(pdf["embedding"].to_list()).astype(float)
+    got, recall = recall_of(queries.op10_additive_ann(spark, data).orderBy("query_id", "rank").collect(), brute(ids, x))
+    assert recall >= 0.95
+    at = dict(zip(ids.tolist(), x, strict=True))
+    assert all(abs(s - at[q] @ at[v]) < 1e-9 for q, g in got.items() for _, v, s in g)
+
+
+@pytest.mark.parametrize("n", [20_000, 40_000])
+def test_recall_of_unstructured_vectors_whatever_the_batches(spark, tmp_path, n):
+    """Independent Gaussian components are the hardest case; two sizes, and the same rows for two sizes of batches."""
+    x = np.random.default_rng(n).normal(size=(n, 32))
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}).to_parquet(tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    key, before, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    for batch in ("10000", "500"):
+        spark.conf.set(key, batch)
+        try:
+            rows.append([tuple(r) for r in additive_ann.nearest(df, df.filter("vec_id % 400 = 0")).orderBy("query_id", "rank").collect()])
+        finally:
+            spark.conf.set(key, before)
+    assert rows[0] == rows[1]
+    got = [dict(zip(("query_id", "rank", "vec_id", "score"), r, strict=True)) for r in rows[0]]
+    assert recall_of(got, brute(np.arange(n), x, every=400))[1] >= 0.95
 
 
 def test_odd_vectors(spark):

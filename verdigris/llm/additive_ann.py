@@ -23,10 +23,8 @@ from .common import shared_dir, take_worker, written
 BOOKS, WORDS, BEAM = 8, 256, 4
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 20_000
-#: Candidates ranked again exactly for each query in each block of vectors.
-RERANK = 200
-#: Queries searched for at once, and vectors scored at once.
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192
+#: Queries searched for at once, vectors scored at once, and how many of these are ranked again exactly for each query.
+QUERY_BLOCK, VECTOR_BLOCK, RERANK = 4096, 2048, 200
 
 
 @dataclasses.dataclass
@@ -135,49 +133,63 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
 
 
-def _search_block(index: DataFrame, books: Codebooks, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int) -> DataFrame:
-    """Per query of one block, the k best of every part of the index."""
-    spark = index.sparkSession
-    shared = spark.sparkContext.broadcast((books, q_ids, q))  # QUERY_BLOCK vectors at most
+def _blocks(batches, size: int):
+    """The rows of some Arrow batches in frames of `size` rows, however they were cut; the last may be shorter."""
+    held, n = [], 0
+    for pdf in batches:
+        at = 0
+        while at < len(pdf):
+            part = pdf.iloc[at : at + size - n]
+            held.append(part)
+            at, n = at + len(part), n + len(part)
+            if n == size:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _search_block(index: DataFrame, shared, k: int, rerank: int) -> DataFrame:
+    """Per query of one block, a broadcast (codebooks, ids, vectors), the k best of every part of the index."""
 
     def search(batches):
         take_worker("additive_ann")
         books, q_ids, q = shared.value
         tables = lookup_tables(q, books)
         top_score, top_id = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0, np.int64)
-        for pdf in batches:
-            for low in range(0, len(pdf), VECTOR_BLOCK):
-                part = pdf.iloc[low : low + VECTOR_BLOCK].sort_values("vec_id")
-                x = np.stack(part["vector"].to_list())
-                # of equal vectors only the k + 1 smallest ids can be among any query's k best
-                _, group = np.unique(x, axis=0, return_inverse=True)
-                group = group.ravel()
-                order = np.argsort(group, kind="stable")
-                nth = np.arange(len(order)) - np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1])[group[order]]
-                keep = np.sort(order[nth <= k])
-                x, ids = x[keep], part["vec_id"].to_numpy(np.int64)[keep]
-                codes = np.frombuffer(b"".join(part["codes"].iloc[keep]), np.uint8).reshape(len(keep), -1)
-                least = max(k + 1, rerank)
-                for at in range(0, len(q), 256):
-                    block = slice(at, at + 256)
-                    rough = scores(tables[:, :, block], codes)
-                    n = min(least, len(ids))
-                    near = np.argpartition(-rough, n - 1, axis=0)[:n].T
-                    # einsum adds in one fixed order, so equal vectors get equal scores
-                    exact = np.einsum("qnd,qd->qn", x[near], q[block])
-                    own = ids[near] == q_ids[block, None]
-                    exact[own] = -np.inf
-                    if at == 0:
-                        score, found = np.empty((len(q), n)), np.empty((len(q), n), np.int64)
-                    score[block], found[block] = exact, ids[near]
-                score, found = np.concatenate([top_score, score], 1), np.concatenate([top_id, found], 1)
-                best = _best(score, found, k)
-                top_score, top_id = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
+        least = max(k + 1, rerank)
+        for part in _blocks(batches, VECTOR_BLOCK):
+            part = part.sort_values("vec_id")
+            x = np.stack(part["vector"].to_list())
+            # of equal vectors only the k + 1 smallest ids can be among any query's k best
+            _, group = np.unique(x, axis=0, return_inverse=True)
+            group = group.ravel()
+            order = np.argsort(group, kind="stable")
+            nth = np.arange(len(order)) - np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1])[group[order]]
+            keep = np.sort(order[nth <= k])
+            x, ids = x[keep], part["vec_id"].to_numpy(np.int64)[keep]
+            codes = np.frombuffer(b"".join(part["codes"].iloc[keep]), np.uint8).reshape(len(keep), -1)
+            n = min(least, len(ids))
+            score, found = np.empty((len(q), n)), np.empty((len(q), n), np.int64)
+            for at in range(0, len(q), 256):
+                block = slice(at, at + 256)
+                rough = scores(tables[:, :, block], codes)
+                near = np.argpartition(-rough, n - 1, axis=0)[:n].T
+                # einsum adds in one fixed order, so equal vectors get equal scores
+                exact = np.einsum("qnd,qd->qn", x[near], q[block])
+                exact[ids[near] == q_ids[block, None]] = -np.inf
+                score[block], found[block] = exact, ids[near]
+            score, found = np.concatenate([top_score, score], 1), np.concatenate([top_id, found], 1)
+            best = _best(score, found, k)
+            top_score, top_id = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
         if top_score.shape[1]:
             out = pd.DataFrame({"query_id": np.repeat(q_ids, top_score.shape[1]), "vec_id": top_id.ravel(), "score": top_score.ravel()})
             yield out[out["score"] > -np.inf]
 
-    return index.select("vec_id", "vector", "codes").mapInPandas(search, "query_id long, vec_id long, score double")
+    return index.select("vec_id", "vector", "codes").mapInPandas(search, _FOUND)
+
+
+_FOUND = "query_id long, vec_id long, score double"
 
 
 def nearest(
@@ -194,14 +206,15 @@ def nearest(
     Vectors that are null, zero or hold null or non-finite components take no part, as queries or as
     candidates; nor do rows with a null id.  Ties go to the smaller id.  Repeated rows with one id are
     candidates each.  queries default to all of vectors.  Queries are searched in blocks of bounded size,
-    every block against all rows; each part of the index keeps k candidates of a query, and these
-    meet by query.  An empty table gives no rows.
+    every block against all rows; each part of the index keeps k candidates of a query, which are written
+    and meet by query.  Which rows are ranked again depends on the parts of the index, not on Arrow
+    batches.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     where = shared_dir(spark)
     index, books = build_index(vectors, f"{where}/index", key, embedding)
     asked = valid_vectors(vectors if queries is None else queries, key, embedding)
-    found = None
+    done = []
     if books is not None:
         width = books.words.shape[2]
         asked = asked.filter(F.size("vector") == width)
@@ -211,9 +224,10 @@ def nearest(
             pdf = part.dropDuplicates().toPandas()
             if not len(pdf):
                 continue
-            got = _search_block(index, books, pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["vector"].to_list()), k, rerank)
-            found = got if found is None else found.unionByName(got)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+            shared = spark.sparkContext.broadcast((books, pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["vector"].to_list())))  # about query_block vectors
+            done.append(f"{where}/found{b}")
+            _search_block(index, shared, k, rerank).write.parquet(done[-1])
+            shared.destroy()
+    found = spark.read.schema(_FOUND).parquet(*done) if done else spark.createDataFrame([], _FOUND)
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
