@@ -1,7 +1,12 @@
 """Plain Python versions of the operators' results, for small inputs."""
 
 import hashlib
+import math
 import re
+import struct
+import zlib
+
+import xxhash
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -85,3 +90,37 @@ def components(docs, n, num, den):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def ring_shards(docs, n_shards, cells, nodes, slack):
+    """{doc_id: (size, crc32, shard)} of [(doc_id, text)]: cells walk the ring clockwise, the largest first, to a shard with room."""
+    owner, size = {}, {}
+    for doc, text in docs:
+        owner[doc] = xxhash.xxh64_intdigest(struct.pack("<q", doc), seed=42) % cells  # 2**64 is a multiple of cells
+        size[owner[doc]] = size.get(owner[doc], 0) + len((text or "").encode()) + 1
+    at = sorted((zlib.crc32(f"shard {s} node {v}".encode()) * cells // 2**32, s) for s in range(n_shards) for v in range(nodes))
+    most, held, place = sum(size.values()) / n_shards * (1 + slack), [0] * n_shards, {}
+    for cell in sorted(size, key=lambda c: (-size[c], c)):
+        walk = [s for p, s in at if p >= cell] + [s for p, s in at if p < cell]
+        fits = [s for s in walk if held[s] + size[cell] <= most]
+        place[cell] = fits[0] if fits else min(range(n_shards), key=lambda s: (held[s], s))
+        held[place[cell]] += size[cell]
+    return {d: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), place[owner[d]]) for d, t in docs}
+
+
+def language(text, names, codes, weights, bias, orders):
+    """(language, score) of one text by plain sums over its n-grams and the loss of every codeword."""
+    if not re.search(r"[^\W\d_]", text or ""):
+        return "und", 0.0
+    body = (" " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " ").encode()
+    bits, features = len(bias), len(weights)
+    margin = [0.0] * bits
+    for order in orders:
+        for i in range(len(body)):
+            gram = int.from_bytes(body[i : i + order], "little")
+            slot = ((gram ^ (order * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF) >> (33 - features.bit_length())
+            margin = [m + float(w) for m, w in zip(margin, weights[slot], strict=True)]
+    margin = [m / len(body) + b for m, b in zip(margin, bias, strict=True)]
+    loss = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margin, code, strict=True)) for code in codes]
+    best = min(range(len(loss)), key=lambda i: loss[i])
+    return names[best], 1 / sum(math.exp(loss[best] - x) for x in loss)

@@ -2,7 +2,8 @@
 
 The ring is cut into a fixed number of cells.  A key belongs to the cell of its hash, a cell to the
 first virtual node clockwise, and no shard may take more than (1 + slack) times the mean number of
-bytes: a cell that does not fit continues clockwise to the next shard that has room.  Only the bytes
+bytes: a cell that does not fit continues clockwise to the next shard that has room.  So no shard holds
+less than the mean but for the slack of all others.  Only the bytes
 and rows of each cell, a table of fixed size, reach the driver; rows never do.
 """
 
@@ -14,9 +15,13 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_dir, written
+
 CELLS = 16384
 VIRTUAL_NODES = 128
-SLACK = 1 / 128
+SLACK = 1 / 4096
+#: A cell of over CROWD rows is crowded with more than 1/CROWDED of a shard's bytes or 1/CROWDED_ROWS of all rows.
+CROWD, CROWDED, CROWDED_ROWS = 64, 16, 256
 
 
 def ring(n_shards: int, virtual_nodes: int = VIRTUAL_NODES, cells: int = CELLS) -> list[tuple[int, int]]:
@@ -59,6 +64,11 @@ def place_cells(
     return place
 
 
+def _usage(rows: DataFrame) -> dict[int, tuple[int, int]]:
+    """(bytes, rows) of each cell: at most `cells` entries, whatever the input."""
+    return {r["cell"]: (r["size"], r["n"]) for r in rows.groupBy("cell").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
+
+
 def bounded_load_shards(
     docs: DataFrame,
     n_shards: int = 16,
@@ -70,9 +80,11 @@ def bounded_load_shards(
 ) -> DataFrame:
     """Return key, size, text_crc32, shard and slot of every row.
 
-    size is the text's UTF-8 bytes plus 1 (null text: 1).  A null key is hashed by its text.  Rows
-    that agree in key and text share a cell and so a shard; slots order them one after another.  A
-    cell larger than a shard's room goes to the least loaded shard.  An empty table gives no rows.
+    size is the text's UTF-8 bytes plus 1 (null text: 1).  A null key is hashed by its text.  Rows of
+    one key share a cell and so a shard; slots order them one after another.  Only the rows of a crowded
+    cell, where a key is very frequent, are dealt to cells one by one, so that no shard and no task gets
+    them all.  A cell larger than a shard's room goes to the least loaded shard.  An empty table gives
+    no rows.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(
@@ -80,8 +92,14 @@ def bounded_load_shards(
         (F.octet_length(body) + F.lit(1)).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
     ).withColumn("cell", F.pmod(F.xxhash64(F.col(key), F.when(F.col(key).isNull(), F.col("text_crc32"))), F.lit(cells)).cast("int"))
-    # at most `cells` rows, whatever the input
-    usage = {r["cell"]: (r["size"], r["n"]) for r in rows.groupBy("cell").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
+    usage = _usage(rows)
+    total, n_rows = sum(s for s, _ in usage.values()), sum(n for _, n in usage.values())
+    crowded = [c for c, (s, n) in usage.items() if n > CROWD and (s * CROWDED * n_shards > total or n * CROWDED_ROWS > n_rows)]
+    if crowded:
+        one_by_one = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells)).cast("int")
+        # stored, so that both uses below see the same cells
+        rows = written(rows.withColumn("cell", F.when(F.col("cell").isin(crowded), one_by_one).otherwise(F.col("cell"))), f"{shared_dir(docs.sparkSession)}/rows")
+        usage = _usage(rows)
     place = place_cells({c: s for c, (s, _) in usage.items()}, n_shards, virtual_nodes, slack, cells)
     base, filled = [], [0] * n_shards
     for c in range(cells):
