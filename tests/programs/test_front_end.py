@@ -12,7 +12,7 @@ ROUND_TRIP = ["1 + 2 * 3", "(1 + 2) * 3", "a - (b - c)", "a ? b : c ? d : e", "!
 BAD_SYNTAX = [("1 +", "UnexpectedEnd"), ("'abc", "UnterminatedString"), ("'\\q'", "InvalidEscape"), ("1 2", "UnexpectedToken"), ("for", "ReservedWord"), ("99999999999999999999", "NumberOutOfRange"), ("a ? b", "UnexpectedToken"), ("#", "UnexpectedCharacter"), ("(" * 300 + "1" + ")" * 300, "NestingTooDeep"), ("12ab", "InvalidNumber")]
 BAD_TYPES = [("1 + 'a'", "InvalidBinaryOperand"), ("1 + 2.0", "InvalidBinaryOperand"), ("nope", "UndefinedVariable"), ("f(1)", "UnknownFunction"), ("'a'.size(1)", "NoMatchingOverload"), ("!1", "InvalidPredicate"), ("-'a'", "InvalidUnaryOperand"), ("1 ? 2 : 3", "InvalidPredicate"), ("'a' < 1", "InvalidBinaryOperand"), ("[1]['a']", "InvalidIndexType"), ("{1.5: 2}", "InvalidMapKey"), ("1.map(x, x)", "InvalidMacro"), ("[1].all(1, true)", "InvalidMacro"), ("'a'.b", "InvalidFieldAccess"), ("has(1)", "InvalidMacro"), ("Nope{}", "UnknownMessage"), ("-1u", "InvalidUnaryOperand"), ("{1: 2, 'a': 3}", "MixedMapKeys")]
 TYPES = [("[1, 'a']", "list(dyn)"), ("[]", "list(dyn)"), ("{'a': [1]}", "map(string, list(int))"), ("true ? 1 : 'a'", "dyn"), ("optional.of(1)", "optional_type(int)"), ("[1].map(x, string(x))", "list(string)"), ("[1].min()", "int"), ("[1].isSorted()", "bool"), ("null", "null_type"), ("timestamp(0) - timestamp(0)", "duration")]
-RESIDUALS = [("x", "x"), ("true && x == 1", "x == 1"), ("[1 + 1, x]", "[2, x]"), ("false || x == 0", "x == 0"), ("true || x == 0", "true"), ("false && x == 0", "false"), ("x > 0 && y", "x > 0 && y"), ("true && x > 0 && true", "x > 0"), ("1 < 2 ? x : 5", "x"), ("x in []", "false"), ("[1, 2].exists(x, x == 2)", "true"), ("k + 1 > x", "4 > x"), ("[1].map(k, k + 1)", "[2]")]
+RESIDUALS = [("x", "x"), ("true && x == 1", "x == 1"), ("[1 + 1, x]", "[2, x]"), ("false || x == 0", "x == 0"), ("true || x == 0", "true"), ("false && x == 0", "false"), ("x > 0 && y", "x > 0 && y"), ("true && x > 0 && true", "x > 0"), ("1 < 2 ? x : 5", "x"), ("x in []", "false"), ("[1, 2].exists(x, x == 2)", "true"), ("has({'a': k}.a) && x > 2", "x > 2"), ("has([k, 1][0])", "true"), ("has({'a': 1}.b)", "false"), ("has(m.a) && x > 2", "x > 2"), ("has(m['z']) || y", "y"), ("has({'a': x}.a)", 'has({"a": x}.a)'), ("k + 1 > x", "4 > x"), ("[1].map(k, k + 1)", "[2]")]
 
 
 @pytest.mark.parametrize("text", ROUND_TRIP)
@@ -63,8 +63,17 @@ def test_names_and_containers(spark):
 
 @pytest.mark.parametrize("text,want", RESIDUALS)
 def test_residuals(spark, text, want):
-    env = Env({"x": "int", "y": "bool", "k": "int"}, ALL)
-    assert env.partial(text, {"k": 3})[1] == want
+    env = Env({"x": "int", "y": "bool", "k": "int", "m": "map(string, int)"}, ALL)
+    rest = env.partial(text, {"k": 3, "m": {"a": 1}})[1]
+    assert rest == want
+    env.compile(rest)  # what is left is a program
+
+
+@pytest.mark.parametrize("text,want", [("has({'a':1}.a)", True), ("has({'a':1}.b)", False), ("has([1][0])", True), ("has([1][2])", False), ("has({'a': {'b': 1}}.a.b)", True)])
+def test_has_on_constants(spark, text, want):
+    env = Env({}, ALL)
+    assert env.compile(text).folded.value is want
+    assert spark.range(1).select(env.compile(text).column()).first()[0] is want
 
 
 def test_whole_values_and_shadowing(spark):
