@@ -176,7 +176,7 @@ def hash_ops(spark, d):
     return columns(table(spark, d, "documents"), ["doc_id"], a="hash.md5(text)", b="hash.sha256(text)").select("doc_id", F.lower(F.hex("a")).alias("a"), F.lower(F.hex("b")).alias("b"))
 
 
-@query(None)
+@query("""SELECT p_partkey, lower(lpad(to_hex(list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(string_split(p_name, ''), lambda c: ord(c)::HUGEINT)), lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT), 16, '0')) AS h FROM part""")
 def fnv_ops(spark, d):
     return columns(table(spark, d, "part"), ["p_partkey"], h="hash.fnv64a(p_name)").withColumn("h", F.lower(F.hex("h")))
 
@@ -220,7 +220,9 @@ def bind_and_block(spark, d):
     return columns(df, ["l_orderkey", "l_linenumber"], a="cel.bind(q, l_quantity > 30.0, q ? l_extendedprice : 0.0)", b="cel.block([l_quantity * 2.0, cel.index(0) + 1.0], cel.index(1))")
 
 
-@query(None)
+@query("""SELECT * FROM (VALUES
+('l_discount >= 0.05 && l_discount <= 0.07 && l_quantity < 24.0 && l_returnflag in [''R'', ''A''] && l_shipdate.getFullYear() == 1996', 34::BIGINT, 34::BIGINT, 22::BIGINT, 0::BIGINT, 'bool'),
+('[1, 2, 3].exists(x, x == l_orderkey)', 14, 3011, 9, 0, 'bool'), ('l_returnflag.matches(''R|A'')', 31, 31, 3, 0, 'bool')) AS t(program, least, most, nodes, issues, type)""")
 def cost_validate(spark, d):
     env = Env.from_schema(table(spark, d, "lineitem").schema, ALL)
     rows = []
