@@ -76,6 +76,47 @@ def test_has_on_constants(spark, text, want):
     assert spark.range(1).select(env.compile(text).column()).first()[0] is want
 
 
+UNKNOWN = [
+    ("m.a > 0 && x > 1", ["m.b"], "x > 1"), ("m.a > 0 && m.b > 2", ["m.b"], "m.b > 2"), ("m.b > 2 || m['a'] == 1", ["m.b"], "true"), ("m == {'a': 1, 'b': 5}", ["m.b"], 'm == {"a": 1, "b": 5}'), ("m.a + m.b", ["m.*"], "m.a + m.b"),
+    ("l[0] + l[1]", [("l", 1)], "7 + l[1]"), ("l[0] + l[1]", [("l", "*")], "l[0] + l[1]"), ("has(m.a) && has(m.b)", ["m.b"], "has(m.b)"), ("l[x] == 7", [("l", 1)], "l[x] == 7"), ("[1].map(m, m + 1)", ["m.b"], "[2]"), ("m.a", [], "1"), ("m.a", ["m"], "m.a"),
+]
+
+
+@pytest.mark.parametrize("text,unknown,want", UNKNOWN)
+def test_unknown_attributes_stay(spark, text, unknown, want):
+    env = Env({"x": "int", "m": "map(string, int)", "l": "list(int)"}, ALL)
+    assert env.partial(text, {"m": {"a": 1, "b": 5}, "l": [7, 8]}, unknown)[1] == want
+
+
+def test_types_can_be_taken_out(spark):
+    env = Env({}, ALL).message("M", "a bigint").enum("E", {"X": 1})
+    assert env.compile("M{a: 1}.a + E.X").output_type() == "int"
+    env.remove_type("M").remove_type("E")
+    for text in ("M{a: 1}", "E.X"):
+        with pytest.raises(S.ProgramError):
+            env.compile(text)
+    with pytest.raises(KeyError):
+        env.remove_type("M")
+
+
+def test_prepared_arguments_hooks_and_exhaustive_evaluation(spark):
+    from pyspark.sql import functions as F
+
+    calls = []
+    env = Env({"i": "int"}, ALL)
+    env.dynamic_function("add", False, lambda types: types[0] if len(types) == 2 else None, lambda c, types, cols, n: cols[0] + n, prepare=lambda literals: calls.append(literals) or len(literals[1]))
+    df = spark.createDataFrame([(1,), (0,)], "i long")
+    both = env.compile("add(i, 'abc') + add(i, 'abc')")
+    assert [r[0] for r in df.select(both.column(), both.column()).collect()] == [8, 6] and calls == [[None, "abc"]]
+    swap = lambda text, kind, v: F.lit(False) if text == "i == 1" and kind == "bool" else None
+    assert [r[0] for r in df.select(env.compile("i == 1 || i > 5").column(hooks=[swap])).collect()] == [False, False]
+    rows = env.compile("i == 1 || 10 / i > 3").exhaustive(df).collect()
+    assert [(r["value"], r["failed"]) for r in rows] == [(True, False), (None, True)]
+    assert rows[0]["nodes"]["10 / i > 3"] == "true" and rows[1]["nodes"]["i == 1"] == "false"
+    rows = env.compile("i == 1 ? 5 : i + 1").exhaustive(df).collect()
+    assert rows[0]["nodes"]["i + 1"] == "2" and rows[0]["value"] == 5
+
+
 def test_whole_values_and_shadowing(spark):
     env = Env({"k": "int"}, ALL)
     assert env.partial("k * 2 == 6", {"k": 3})[0] is True

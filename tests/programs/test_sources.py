@@ -118,3 +118,24 @@ def test_unchecked_programs_and_observed_counts(spark):
     seen = Observation()
     Env.from_schema(df.schema, ALL).compile("10 / i > 3").observed(df, seen).collect()
     assert seen.get == {"rows": 3, "failed": 1, "true": 1}
+
+
+def test_messages_merge_and_hold_any_value():
+    from verdigris.sources.protobuf import Descriptor, Field, Json, Malformed, decode
+
+    part = lambda n, body: bytes([n << 3 | 2, len(body)]) + body
+    inner = Descriptor("x.Inner", (Field("a", 1, "int64"), Field("b", 2, "int64"), Field("s", 3, "string", repeated=True)))
+    d = Descriptor("x.Outer", (Field("m", 1, "message", message=inner), Field("v", 2, "message", message="google.protobuf.Value"), Field("s", 3, "message", message="google.protobuf.Struct"), Field("l", 4, "message", message="google.protobuf.ListValue"), Field("p", 5, "message", message="google.protobuf.Any")))
+    got = decode(d, part(1, b"\x08\x01" + part(3, b"x")) + part(1, b"\x10\x02" + part(3, b"y")) + part(1, b"\x08\x05"))
+    assert got["m"] == {"a": 5, "b": 2, "s": ["x", "y"]} and got["v"] is None
+    text, number, null, yes = part(3, b"hi"), b"\x11" + b"\0\0\0\0\0\0\xf8?", b"\x08\x00", b"\x20\x01"
+    for body, want in ((text, "hi"), (number, 1.5), (null, None), (yes, True), (b"\x20\x00", False), (b"", None), (part(3, b""), "")):
+        assert decode(d, part(2, body))["v"] == Json(want)
+    entry = lambda k, v: part(1, part(1, k) + part(2, v))
+    assert decode(d, part(3, entry(b"k", text) + entry(b"n", part(6, part(1, number)))))["s"] == Json({"k": "hi", "n": [1.5]})
+    assert decode(d, part(4, part(1, null) + part(1, part(5, entry(b"z", yes)))))["l"] == Json([None, {"z": True}])
+    packed = part(1, b"type.googleapis.com/x.Inner") + part(2, b"\x08\x07")
+    assert decode(d, part(5, packed), {"x.Inner": inner})["p"] == Json({"a": 7, "b": 0, "s": []})
+    assert decode(d, part(5, packed))["p"] == Json({"type_url": "type.googleapis.com/x.Inner", "value": "CAc="})
+    with pytest.raises(Malformed):
+        decode(d, part(1, b"\x08"))

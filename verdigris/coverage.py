@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import ALL
 from .plans.env import Env
 from .queries import columns, query, table
+from .sources.protobuf import Descriptor, Field, decode_messages
 
 @query("""SELECT event_id, event_type = 'click' AS a, true AS b, true AS c, json_extract(props, '$.k') IS NOT NULL AS e, false AS f, event_type = 'click' AND user_id > 20 AS g FROM events""")
 def has_ops(spark, d):
@@ -140,3 +141,62 @@ def extension_ops(spark, d):
     }
     child = env.child({}, container="shop")
     return df.select("event_id", *[child.compile(t).column().alias(n) for n, t in programs.items()])
+
+
+def _varint(v):
+    """Wire bytes of a number below 2**14."""
+    octet = lambda x: F.unhex(F.lpad(F.hex(x), 2, "0"))
+    return F.when(v < 128, octet(v)).otherwise(F.concat(octet((v % 128) + 128), octet(F.floor(v / 128))))
+
+
+def _part(number: int, body):
+    """A field of bytes on the wire."""
+    return F.concat(F.lit(bytes([number << 3 | 2])), _varint(F.octet_length(body)), body)
+
+
+ITEM = Descriptor("shop.Item", (Field("id", 1, "int64"), Field("tags", 2, "string", repeated=True)))
+ORDER = Descriptor("shop.Order", (
+    Field("kind", 1, "string"), Field("user", 2, "int64"), Field("item", 3, "message", message=ITEM), Field("extra", 4, "message", message="google.protobuf.Value"),
+    Field("counts", 5, "int32", repeated=True), Field("packed", 6, "message", message="google.protobuf.Any"), Field("at", 7, "message", message="google.protobuf.Timestamp"), Field("label", 8, "message", message="google.protobuf.StringValue"),
+))
+
+
+@query("""SELECT event_id, event_type AS a, user_id AS b, user_id AS c, 2::BIGINT AS e, event_type AS f, user_id + 7 AS g, user_id AS h, user_id % 60 AS i, event_type AS k, user_id * 2 AS m FROM events WHERE user_id < 16384""")
+def wire_decode(spark, d):
+    """Messages from wire bytes: a message field in two parts, a value, packed numbers, a packed message, a time, a wrapper."""
+    df = table(spark, d, "events").filter("user_id < 16384")
+    text, number = F.col("event_type").cast("binary"), F.concat(F.lit(b"\x08"), _varint(F.col("user_id")))
+    item = F.concat(number, _part(2, text))
+    packed = F.concat(_part(1, F.lit(b"type.googleapis.com/shop.Item")), _part(2, number))
+    wire = F.concat(
+        _part(1, text), F.lit(b"\x10"), _varint(F.col("user_id")), _part(3, number), _part(3, _part(2, text)), _part(3, _part(2, text)), _part(4, _part(3, text)),
+        _part(5, F.concat(_varint(F.col("user_id")), F.lit(b"\x07"))), _part(6, packed), _part(7, number), _part(8, _part(1, text)), F.lit(b"\x78\x01"),
+    )
+    df = df.withColumn("wire", wire).withColumn("item", item).withColumn("row", decode_messages(F.col("wire"), ORDER, (ITEM,)))
+    env = Env.from_schema(df.schema, ALL).descriptor(ITEM)
+    programs = {
+        "a": "row.kind", "b": "row.user", "c": "row.item.id", "e": "row.item.tags.size()", "f": "row.extra == event_type ? event_type : ''", "g": "row.counts.sum()", "h": "int(row.packed.id)", "i": "row.at.getSeconds()", "k": "row.label",
+        "m": "google.protobuf.Any{type_url: 'type.googleapis.com/shop.Item', value: item}.id * 2",
+    }
+    return df.select("event_id", *[env.compile(t).column().alias(n) for n, t in programs.items()])
+
+
+@query("""SELECT event_id, user_id AS a, 2::BIGINT AS b, event_type = 'click' AS c, true AS e, user_id AS f, user_id * 1000 AS g, true AS h, user_id > 5 AS i FROM events""")
+def well_known(spark, d):
+    return columns(
+        table(spark, d, "events"), ["event_id"], a="google.protobuf.ListValue{values: [user_id, 2]}[0]", b="google.protobuf.Struct{fields: {'a': user_id, 'b': 1}}.size()", c="google.protobuf.Value{string_value: event_type} == 'click'",
+        e="google.protobuf.Value{} == null && google.protobuf.ListValue{}.size() == 0 && google.protobuf.Struct{}.size() == 0", f="int(google.protobuf.Timestamp{seconds: user_id})", g="google.protobuf.Duration{seconds: user_id, nanos: 5000000}.getSeconds() * 1000",
+        h="google.protobuf.Any{type_url: 'x', value: b'y'}.type_url == 'x' && google.protobuf.Any{value: 3} == 3", i="google.protobuf.Value{number_value: user_id} > 5",
+    )
+
+
+@query("""SELECT event_id, event_type = 'click' AND user_id > 20 AS a, user_id + 3 AS b, user_id * 10 AS c, user_id + 100 AS e FROM events""")
+def services(spark, d):
+    """Unknown attributes, prepared arguments, hooks that replace results, types taken out again."""
+    df = table(spark, d, "events").withColumn("row", F.struct("event_type", "user_id"))
+    env = Env.from_schema(df.schema, ALL).child({"m": "map(string, int)"})
+    _, rest = env.partial("m.least < 30 && row.event_type == 'click' && row.user_id > m.least", {"m": {"least": 20}, "row": {"event_type": "click"}}, ["row.*"])
+    env.dynamic_function("plus", True, lambda types: types[0] if len(types) == 2 else None, lambda c, types, cols, prepared: cols[0] + prepared, prepare=lambda literals: F.lit(len(literals[1])))
+    env.message("Gone", "x bigint").remove_type("Gone")
+    hooked = env.compile("user_id * 10 + 0", optimize=False).column(hooks=[lambda text, kind, v: v + 0 if text == "user_id" and kind.endswith("int)") else None])
+    return df.select("event_id", env.compile(rest).column().alias("a"), env.compile("user_id.plus('abc')").column().alias("b"), hooked.alias("c"), env.compile("user_id + 0", optimize=False).column(hooks=[lambda text, kind, v: F.lit(100).cast("bigint") if text == "0" else None]).alias("e"))

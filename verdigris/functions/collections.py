@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.lower import Lowered, convert, equal, from_variant, literal, to_variant, variant_number
+from ..operators.lower import Lowered, convert, equal, from_variant, let, literal, to_variant, variant_number
 from ..plans.env import Library
 from ..plans.types import DYN, Type, bare, spark_type
 from .standard import interval, micros, wrapped
@@ -175,7 +175,10 @@ def _(c, a, b):
 def _(c, a, b):
     kind = spark_type(c.node.type, c.lowerer.env.all_messages())
     a, b = a.cast(kind) if c.types[0].args[0].kind in ("dyn", "param") else a, b
-    # the left map's order, the right map's values
-    kept = F.transform(F.map_entries(a), lambda e: F.struct(e["key"].alias("key"), F.when(F.map_contains_key(b, e["key"]), F.try_element_at(b, e["key"])).otherwise(e["value"]).alias("value")))
-    new = F.filter(F.map_entries(b), lambda e: ~F.map_contains_key(a, e["key"]))
-    return F.map_from_entries(F.concat(kept, new))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda both: F.when(both["a"].isNotNull() & both["b"].isNotNull(), _merged(both["a"], both["b"])))
+
+
+def _merged(a, b):
+    """The left map's order, the right map's values."""
+    kept = F.transform_values(a, lambda k, v: F.when(F.map_contains_key(b, k), F.try_element_at(b, k)).otherwise(v))
+    return F.map_concat(kept, F.map_filter(b, lambda k, v: ~F.map_contains_key(a, k)))

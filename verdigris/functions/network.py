@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import decimal
+import ipaddress
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators.lower import let
@@ -24,8 +28,46 @@ def parse_ip(s):
     return let(s, _parse_ip)
 
 
+def _known_ip(text: str):
+    """(family, high half, low half) of an address; None if the text is none."""
+    if re.fullmatch(_V4[1:-2], text):
+        return 4, 0, int(ipaddress.IPv4Address(text))
+    try:
+        number = int(ipaddress.IPv6Address(text)) if re.fullmatch("[0-9a-fA-F:]+", text) else None
+    except ValueError:
+        number = None
+    return None if number is None else (6, number >> 64, number & (1 << 64) - 1)
+
+
+def _known_cidr(text: str):
+    """(family, high half, low half, prefix) of a network, masked; None if the text is none."""
+    m = re.fullmatch(r"([^/]+)/(0|[1-9][0-9]{0,2})", text)
+    ip = m and _known_ip(m[1])
+    if not ip or int(m[2]) > (32 if ip[0] == 4 else 128):
+        return None
+    prefix, width = int(m[2]), 32 if ip[0] == 4 else 128
+    whole = (ip[1] << 64 | ip[2]) >> width - prefix << width - prefix
+    return ip[0], whole >> 64, whole & (1 << 64) - 1, prefix
+
+
+def _or_known(known, parse, names):
+    """A builder that works out a literal argument on the driver."""
+
+    def build(c, s):
+        text = c.literal(0)
+        if not isinstance(text, str):
+            return parse(s)
+        found = known(text)
+        kinds = {"family": "int", "hi": _DEC, "lo": _DEC, "prefix": "int"}
+        if found is None:
+            return F.lit(None).cast("struct<" + ",".join(f"{n}:{kinds[n]}" for n in names) + ">")
+        return F.struct(*[F.lit(decimal.Decimal(v) if kinds[n] == _DEC else v).cast(kinds[n]).alias(n) for n, v in zip(names, found, strict=True)])
+
+    return build
+
+
 def _parse_ip(s):
-    v4 = sum((F.regexp_extract(s, _V4, i + 1).try_cast("bigint") * (1 << 8 * (3 - i)) for i in range(4)), F.lit(0).cast("bigint"))
+    v4 = let(F.split(s, r"\."), lambda parts: sum((F.get(parts, i).try_cast("bigint") * (1 << 8 * (3 - i)) for i in range(4)), F.lit(0).cast("bigint")))
     packed = F.contains(s, F.lit("::"))
     left = F.substring_index(s, "::", 1)
     right = F.when(packed, F.substring(s, F.length(left) + 3, F.length(s))).otherwise("")
@@ -103,8 +145,8 @@ def cidr_text(v):
     return let(v, lambda w: F.concat(ip_text(w), F.lit("/"), w["prefix"].cast("string")))
 
 
-add("ip(string) -> net.IP")(lambda c, s: parse_ip(s))
-add("cidr(string) -> net.CIDR")(lambda c, s: parse_cidr(s))
+add("ip(string) -> net.IP")(_or_known(_known_ip, parse_ip, ("family", "hi", "lo")))
+add("cidr(string) -> net.CIDR")(_or_known(_known_cidr, parse_cidr, ("family", "hi", "lo", "prefix")))
 add("isIP(string) -> bool")(lambda c, s: F.when(s.isNotNull(), parse_ip(s).isNotNull()))
 add("isIP(net.IP) -> bool")(lambda c, v: F.when(v.isNotNull(), True))
 add("isCIDR(string) -> bool")(lambda c, s: F.when(s.isNotNull(), parse_cidr(s).isNotNull()))

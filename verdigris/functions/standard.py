@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..operators.lower import INT_MIN, UINT_MAX, from_variant, in_time, in_uint, to_variant, variant_kind
+from ..operators.lower import INT_MIN, UINT_MAX, from_variant, in_time, in_uint, let, to_variant, variant_kind
 from ..plans.env import Library
 from ..plans.types import UINT_TYPE, Type, bare
 from . import patterns
@@ -66,18 +66,25 @@ add("dyn(A) -> dyn")(lambda c, x: to_variant(x, c.types[0]))
 def double_text(d):
     """Shortest decimal text: exponents from 1e21 and below 1e-6, no trailing `.0`."""
     s = d.cast("string")
-    size = F.abs(d)
-    digits = F.regexp_replace(F.regexp_extract(s, r"^-?([0-9.]+)", 1), r"[.]", "")
-    digits = F.regexp_replace(digits, "0+$", "")
+    plain = F.regexp_replace(s, r"\.0$", "")
+    odd = let(s, lambda t: _with_exponent(F.abs(d), t))
+    return F.when(F.isnan(d), "NaN").when(d == float("inf"), "+Inf").when(d == float("-inf"), "-Inf").when(F.contains(s, F.lit("E")), odd).otherwise(plain)
+
+
+def _with_exponent(size, s):
+    """Text of a finite double that is written with an exponent, digits and power of ten, as `1.5E-7`."""
+    digits = F.regexp_replace(F.regexp_extract(s, r"^-?([0-9.]+)", 1), r"[.]|0+$", "")
     sign = F.when(s.startswith("-"), "-").otherwise("")
-    power = F.when(s.contains("E"), F.regexp_extract(s, r"E(-?[0-9]+)$", 1).cast("int")).otherwise(0)
-    plain_digits = F.when(s.contains("E"), digits)
+    parts = F.struct(digits.alias("digits"), F.regexp_extract(s, r"E(-?[0-9]+)$", 1).cast("int").alias("power"))
+    return F.concat(sign, let(parts, lambda p: _scaled(size, p["digits"], p["power"])))
+
+
+def _scaled(size, plain_digits, power):
     n = F.length(plain_digits)
     large = F.when(power + 1 >= n, F.rpad(plain_digits, (power + 1).cast("int"), F.lit("0"))).otherwise(F.concat(F.substring(plain_digits, F.lit(1), (power + 1).cast("int")), F.lit("."), F.substring(plain_digits, (power + 2).cast("int"), n)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), (-power - 1).cast("int")), plain_digits)
     exponent = F.concat(F.substring(plain_digits, F.lit(1), F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substring(plain_digits, F.lit(2), n))).otherwise(""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    body = F.when(~s.contains("E"), F.regexp_replace(F.regexp_replace(s, r"^-", ""), r"\.0$", "")).when((size >= 1e21) | (size < 1e-6), exponent).when(power >= 0, large).otherwise(small)
-    return F.when(F.isnan(d), "NaN").when(d == float("inf"), "+Inf").when(d == float("-inf"), "-Inf").when(d.isNotNull(), F.concat(sign, body))
+    return F.when((size >= 1e21) | (size < 1e-6), exponent).when(power >= 0, large).otherwise(small)
 
 
 def timestamp_text(t):

@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans import syntax as S
 from ..plans.check import Typed
 from ..plans.env import Env
 from ..plans.types import DYN, NUMERIC, UINT_TYPE, Type, bare, nullable, spark_type
@@ -295,9 +296,19 @@ class Lowerer:
         self.env, self.columns = env, columns or {}
         self.locals: list[dict[str, Lowered]] = []
         self.trace: list[tuple[Typed, Lowered]] | None = None
+        self.hooks: list[Callable] = []
+
+    @property
+    def whole(self) -> bool:
+        """Whether every node needs a column of its own."""
+        return self.trace is not None or bool(self.hooks)
 
     def lower(self, t: Typed) -> Lowered:
         out = getattr(self, f"lower_{t.op}")(t)
+        for hook in self.hooks:
+            got = hook(S.unparse(t.source) if t.source is not None else t.op, str(t.type), out.v)
+            if got is not None:
+                out = Lowered(got, strict=is_null_error(t.type), sure=not is_null_error(t.type))
         if self.trace is not None and not self.locals:
             self.trace.append((t, out))
         return out
@@ -339,7 +350,24 @@ class Lowerer:
     def lower_index(self, t: Typed) -> Lowered:
         return self._get(t, t.args[0], t.args[1], None, t.value["optional"])
 
+    def _of_literal(self, t: Typed, operand: Typed, key: Typed | None, name: str | None) -> Lowered | None:
+        """The value that a map literal of constant keys has for a constant key that it holds."""
+        keys = constant_keys(operand)
+        if keys is None or key is not None and (key.op != "const" or key.type != bare(operand.type.args[0])):
+            return None
+        wanted = name if key is None else key.value
+        if wanted not in keys:
+            return None
+        values = [self.lower(a) for a in operand.args[1::2]]
+        at, failed = keys.index(wanted), any_failed(*values)
+        got = convert(values[at].v, operand.args[2 * at + 1].type, operand.type.args[1])
+        if is_null_error(t.type):
+            return Lowered(unless(any_failed(*values[:at], *values[at + 1 :]), got), strict=True)
+        return Lowered(got, bad=(lambda: failed) if failed is not None else None, sure=failed is None)
+
     def _get(self, t: Typed, operand: Typed, key: Typed | None, name: str | None, optional: bool) -> Lowered:
+        if not optional and not self.whole and (known := self._of_literal(t, operand, key, name)) is not None:
+            return known
         base, kind = self.lower(operand), operand.type
         failed = any_failed(base)
         v, missing = base.v, None
@@ -439,6 +467,8 @@ class Lowerer:
         op = t.value
         if op in ("&&", "||") and (chain := _chain(t, op)) is not None:
             return Lowered(self._balanced(chain, op), strict=True)
+        if op in _TURNED and not self.whole and (found := self._year_range(op, *t.args)) is not None:
+            return Lowered(found, strict=True)
         a, b = self.lower(t.args[0]), self.lower(t.args[1])
         x, y = t.args[0].type, t.args[1].type
         if op in ("&&", "||"):
@@ -454,6 +484,24 @@ class Lowerer:
             return Lowered(self._contains(t, a, b), strict=True)
         return Lowered(arithmetic(op, a.v, x, b.v, y, t.type), strict=True)
 
+    def _year_range(self, op: str, a: Typed, b: Typed) -> Column | None:
+        """A comparison of a UTC year with a constant as one of the time itself, which scans can use."""
+        if a.op == "const":
+            a, b, op = b, a, _TURNED[op]
+        if b.op != "const" or b.type.kind != "int" or not 1 <= b.value <= 9998 or a.op != "call" or a.value.name != "getFullYear" or len(a.args) != 1 or a.args[0].type.kind != "timestamp":
+            return None
+        of, kind = a.args[0], "timestamp"
+        v = self.lower(of).v
+        if of.op == "column" and of.value not in self.columns:
+            name, stored = self.env.column_of(of.value)
+            if isinstance(stored, (T.DateType, T.TimestampNTZType)):  # as they are stored, in UTC
+                v, kind = F.col(f"`{name}`"), "date" if isinstance(stored, T.DateType) else "timestamp_ntz"
+        starts = [F.lit(f"{y:04d}-01-01" + (" 00:00:00" if kind != "date" else "") + ("Z" if kind == "timestamp" else "")).cast(kind) for y in (b.value, b.value + 1)]
+        return {
+            "==": lambda: (v >= starts[0]) & (v < starts[1]), "!=": lambda: (v < starts[0]) | (v >= starts[1]), "<": lambda: v < starts[0],
+            "<=": lambda: v < starts[1], ">": lambda: v >= starts[1], ">=": lambda: v >= starts[0],
+        }[op]()
+
     def _balanced(self, parts: list[Typed], op: str) -> Column:
         """A long chain of logic as a flat tree, so that plans stay shallow."""
         if len(parts) == 1:
@@ -466,6 +514,9 @@ class Lowerer:
     def _contains(self, t: Typed, a: Lowered, b: Lowered) -> Column:
         x, y = t.args[0].type, t.args[1].type
         failed = any_failed(a, b)
+        keys = constant_keys(t.args[1]) if y.kind == "map" else None
+        if keys is not None and bare(x) == bare(y.args[0]):
+            return unless(b.failed(), a.v.isin(keys)) if not nullable(x) else unless(failed, F.coalesce(a.v.isin(keys), F.lit(False)))
         if y.kind == "map":
             key = self._key(a.v, x, y.args[0])
             return unless(failed, F.coalesce(F.map_contains_key(b.v, F.when(key.isNotNull(), key)), F.lit(False)))
@@ -509,6 +560,10 @@ class Lowerer:
         if not parts:
             return Lowered(F.create_map().cast(spark_type(t.type, self.env.all_messages())), sure=True)
         k, v = t.type.args
+        if constant_keys(t) is not None:
+            failed = any_failed(*parts)
+            items = [convert(p.v, a.type, (k, v)[i % 2]) for i, (p, a) in enumerate(zip(parts, t.args, strict=True))]
+            return Lowered(unless(failed, F.create_map(*items)), strict=failed is not None, sure=failed is None)
         entries = []
         for (p, a), (q, b), o in zip(zip(parts[::2], t.args[::2], strict=True), zip(parts[1::2], t.args[1::2], strict=True), t.value, strict=True):
             key = convert(p.v, a.type, k)
@@ -558,6 +613,12 @@ class Lowerer:
         v = t.value(Context(self, t, parts), [a.type for a in t.args], [p.v for p in parts], [p.literal for p in parts])
         return Lowered(unless(any_failed(*parts), v), strict=True)
 
+    def lower_any(self, t: Typed) -> Lowered:
+        from ..sources.protobuf import decode_messages
+
+        part = self.lower(t.args[0])
+        return Lowered(decode_messages(part.v, t.value), bad=lambda: part.v.isNull())
+
     # ---- macros
 
     def lower_macro(self, t: Typed) -> Lowered:
@@ -633,6 +694,22 @@ class Lowerer:
         for i in range(first, len(t.args)):
             results.append(body(i))
 
+        if bad is None and len(results) == 1 and (name in ("map", "transformList") or is_map and name == "transformMap"):
+            strict: list[bool] = []
+
+            def value(e) -> Column:
+                r = results[0](e)
+                strict.append(r.strict or r.sure)
+                return r.v
+
+            # each body is worked out once where a NULL in the result tells an error
+            if name == "transformMap":
+                got, parts = F.transform_values(v, lambda k, x: value({"key": k, "value": x})), F.map_values
+            else:
+                got, parts = F.transform(items, value), lambda m: m
+            if strict[-1]:
+                return let(got, lambda m: F.when(~F.exists(parts(m), lambda x: x.isNull()), m))
+
         def failing(e: Column) -> Column:
             out = F.lit(False)
             for go in results:
@@ -679,8 +756,27 @@ class Context:
 
 def map_from(entries: Column) -> Column:
     """A map of entries; NULL if a key occurs twice, as that is an error."""
-    keys = F.transform(entries, lambda e: e["key"])
-    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries))
+    def once(es: Column) -> Column:
+        keys = F.transform(es, lambda e: e["key"])
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), es))
+
+    return let(entries, once)
+
+
+def constant_keys(t: Typed) -> list | None:
+    """The keys of a map literal if they are constants of one type, all different and none optional."""
+    if t.op != "map" or any(t.value) or not t.args:
+        return None
+    keys = t.args[::2]
+    kind = bare(t.type.args[0]).kind
+    if kind not in ("string", "int", "bool") or any(k.op != "const" or k.type.kind != kind or k.value is None for k in keys):
+        return None
+    found = [k.value for k in keys]
+    return found if len(set(found)) == len(found) else None
+
+
+#: The other way round of a comparison.
+_TURNED = {"==": "==", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
 
 def _path(name: str) -> str:

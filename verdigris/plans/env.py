@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -100,6 +101,7 @@ class Env:
         self.messages: dict[str, T.StructType] = {}
         self.defaults: dict[str, bool] = {}
         self.enums: dict[str, dict[str, int]] = {}
+        self.descriptors: dict = {}
         self.libraries: set[str] = set()
         self.macros: set[str] = set()
         for name, t in (variables or {}).items():
@@ -132,8 +134,18 @@ class Env:
         self.functions.setdefault((o.name, o.receiver), []).append(o)
         return self
 
-    def dynamic_function(self, name: str, receiver: bool, matcher: Callable, build: Callable) -> Env:
-        """matcher(list of types) returns the result type or None; build(context, types, columns, literals) returns a column."""
+    def dynamic_function(self, name: str, receiver: bool, matcher: Callable, build: Callable, prepare: Callable | None = None) -> Env:
+        """matcher(list of types) returns the result type or None; build(context, types, columns, literals) returns a column.
+
+        prepare(literals) is called once for each different set of literal arguments (None for others);
+        build gets what it returned in place of the literals.
+        """
+        if prepare is not None:
+            once, plain = functools.cache(lambda literals: prepare(list(literals))), build
+
+            def build(c, types, columns, literals):
+                return plain(c, types, columns, once(tuple(literals)))
+
         self.dynamic.setdefault((name, receiver), []).append((matcher, build))
         return self
 
@@ -143,6 +155,24 @@ class Env:
         self.defaults[name] = not explicit_presence
         return self
 
+    def descriptor(self, d) -> Env:
+        """A message type with the descriptor that decodes it (see verdigris.sources.protobuf)."""
+        self.descriptors[d.name] = d
+        return self.message(d.name, d.spark_type())
+
+    def remove_type(self, name: str) -> Env:
+        """Take a message or an enum, with its members, out of this environment."""
+        if name not in self.messages and name not in self.enums:
+            raise KeyError(name)
+        for member in self.enums.pop(name, {}):
+            self.constants.pop(f"{name}.{member}", None)
+        for held in (self.messages, self.defaults, self.descriptors):
+            held.pop(name, None)
+        return self
+
+    def find_descriptor(self, name: str):
+        return self._find("descriptors", name)
+
     def enum(self, name: str, members: dict[str, int]) -> Env:
         self.enums[name] = dict(members)
         t = Type("message", (), name) if self.strong_enums else Type("int")
@@ -232,8 +262,8 @@ class Env:
 
         return Program(self, text, checked=checked, optimize=optimize)
 
-    def partial(self, text: str, known: dict[str, object], unknown: list[str] = ()):
-        """The rest of a program after putting in known values: (value or None, residual text)."""
+    def partial(self, text: str, known: dict[str, object], unknown=()):
+        """The rest of a program after putting in known values, but for unknown attributes: (value or None, residual text)."""
         from .partial import partial_evaluate
 
-        return partial_evaluate(self, text, known)
+        return partial_evaluate(self, text, known, unknown)

@@ -71,12 +71,16 @@ class Program:
 
     # ---- columns
 
-    def column(self, columns: dict[str, Column] | None = None) -> Column:
-        """The value; NULL where the program fails."""
+    def column(self, columns: dict[str, Column] | None = None, hooks=()) -> Column:
+        """The value; NULL where the program fails.
+
+        hooks: functions of a node's text, its type and its column that return another column for it, or None.
+        """
         from ..operators.lower import Lowerer
 
-        out = Lowerer(self.env, columns).lower(self.typed)
-        return out.v
+        lowerer = Lowerer(self.env, columns)
+        lowerer.hooks = list(hooks)
+        return lowerer.lower(self.typed).v
 
     def failed(self, columns: dict[str, Column] | None = None) -> Column:
         """Whether the program fails on a row."""
@@ -120,6 +124,10 @@ class Program:
             got = got.withColumn(trace, F.struct(*nodes))
         return got
 
+    def exhaustive(self, df: DataFrame, value: str = "value", failed: str = "failed", nodes: str = "nodes") -> DataFrame:
+        """Like tracked, with every node outside loops worked out: branches not taken and operands that logic skips among them."""
+        return Program(self.env, self.text, optimize=False).tracked(df, value, failed, nodes)
+
     def observed(self, df: DataFrame, observation) -> DataFrame:
         """df, whose next action fills a pyspark Observation with rows, failed and, for bool, true."""
         counts = [F.count(F.lit(1)).alias("rows"), F.count_if(self.failed()).alias("failed")]
