@@ -367,7 +367,8 @@ def remove_repeated(
     judged = judged.join(by_text.hint("shuffle_hash"), "digest", "left")
     some = F.col("spans").isNotNull() & ~all_gone
     nothing = F.array().cast("array<int>")
-    judged = judged.withColumn("cut", _without(F.when(some, body), F.when(some, F.col("spans.low")).otherwise(nothing), F.when(some, F.col("spans.high")).otherwise(nothing)))
+    # not to be run again for a filter on its result
+    judged = judged.withColumn("cut", _without.asNondeterministic()(F.when(some, body), F.when(some, F.col("spans.low")).otherwise(nothing), F.when(some, F.col("spans.high")).otherwise(nothing)))
     kept = F.when(all_gone, F.lit(b"")).when(some, F.col("cut.kept")).otherwise(body)
     judged = judged.select(
         "digest", "copies", n_bytes.alias("n_bytes"),
