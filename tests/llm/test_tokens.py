@@ -36,6 +36,14 @@ HARD = [
 ]
 
 
+def thue_morse(n, a="a", b="b"):
+    """A word and its mirror image, which polynomial hashes modulo powers of two confuse from a thousand letters on."""
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+HARD += [thue_morse(4096), thue_morse(4096, "b", "a"), f"{thue_morse(2048)} {thue_morse(2048, 'b', 'a')}"]
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_hard_texts_together_and_alone(name):
     path = public_tokenizers.path(name)

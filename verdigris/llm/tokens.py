@@ -34,7 +34,7 @@ _AT_ONCE = 64
 #: Texts that are encoded in one call.
 TEXTS = 1000
 #: Bytes of text that are cut into pieces at once.
-_CHUNK = 4_000_000
+_CHUNK = 1_500_000
 #: Pieces longer than this are compared as they are, not by a hash.
 _LONG = 256
 
