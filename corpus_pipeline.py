@@ -2,30 +2,34 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 `documents`.  Between stages the rows are written as Parquet and read again; a stage may delete what
-earlier ones left in the shared folder.
+earlier ones of the same thread left in the shared folder.
 """
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import decontaminate, jaccard_join, language_id, packing, suffix_dedup
-from verdigris.llm.common import remove, shared_dir, table, written
+from verdigris.llm.common import remove, set_aside, shared_dir, table, written
 
-_LEFT: list[str] = []
+#: Folders of the stages that this thread has called, so runs in several threads leave each other's alone.
+_OWN = threading.local()
 
 
 def _folder(spark: SparkSession) -> str:
     """A folder for a stage's tables.  Those of earlier stages go, as what they led to is written by now."""
     _clear(spark)
-    _LEFT.append(shared_dir(spark))
-    return _LEFT[-1]
+    _OWN.left = [shared_dir(spark)]
+    return _OWN.left[-1]
 
 
 def _clear(spark: SparkSession) -> None:
-    while _LEFT:
-        remove(spark, _LEFT.pop())
+    for path in getattr(_OWN, "left", []):
+        remove(spark, path)
+    _OWN.left = []
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +40,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs)
     if not model.languages:
         return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    told = language_id.identify(docs, model)
-    return told.filter((F.col("lang_pred") != language_id.UNDETERMINED) & ~F.col("lang_ambiguous")).select(*docs.columns)
+    packed, back = set_aside(docs, "text")
+    told = language_id.identify(packed, model)
+    return back(told.filter((F.col("lang_pred") != language_id.UNDETERMINED) & ~F.col("lang_ambiguous")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +51,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur again; documents of which nothing is left go.
+    """Texts without the passages that occur again, strings of 240 bytes; documents of which nothing is left go.
 
-    A character that is cut in two goes whole; n_chars counts what is left.
+    That many bytes hold some fifty words at most, so passages of more words go whole.  A character that
+    is cut in two goes whole; n_chars counts what is left.
     """
-    kept = suffix_dedup.remove_repeated(docs, path=_folder(spark))
+    packed, back = set_aside(docs, "text")
+    kept = suffix_dedup.remove_repeated(packed, suffix_dedup.PASSAGE, suffix_dedup.PASSAGE_GRAM, path=_folder(spark))
     kept = kept.filter((F.col("n_removed") == 0) | (F.octet_length("kept") > 0))
     text = F.when(F.col("n_removed") > 0, _readable(F.col("kept"))).otherwise(F.col("kept").cast("string"))
-    kept = kept.withColumn("text", text)
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col(f"{packed.columns[0]}.n_chars"))
+    return back(kept, **new)
 
 
 def _readable(body):
@@ -91,10 +100,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
-    path, docs = shared_dir(spark), table(spark, sf_dir, "documents")
+    """All stages over `documents`.  The last stage's input stays in the shared folder, as the result reads it."""
+    path, docs, before = shared_dir(spark), table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"{path}/{name}")
+            if before:
+                remove(spark, before)
+            before = f"{path}/{name}"
     return docs

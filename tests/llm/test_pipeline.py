@@ -1,3 +1,5 @@
+import random
+
 import brute
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -26,7 +28,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     groups = brute.components(list(told.items()), 5, 80, 100)
     assert single == {k: told[k] for k in {c for _, c in groups.values()}}
     ids = sorted(single)
-    left = {k: b.decode(errors="ignore") for k, (_, _, b) in zip(ids, brute.duplicated([single[k] for k in ids]), strict=True)}
+    left = {k: b.decode(errors="ignore") for k, (_, _, b) in zip(ids, brute.duplicated([single[k] for k in ids], 240), strict=True)}
     assert cut == {k: v for k, v in left.items() if v or not single[k]}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     bad = {k for k, v in brute.decontaminated(list(cut.items()), items).items() if v[4]}
@@ -53,11 +55,37 @@ def test_replacement_characters_of_the_text_stay(spark):
     common = "".join(f"{i:04d}" for i in range(100))
     rows = [(1, "q\ufffd\x01B é" + common), (2, "w\x01A ũ" + common + "\ufffd"), (3, "\ufffd whole")]
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    want = {i: b.decode(errors="ignore") for (i, _), (_, _, b) in zip(rows, brute.duplicated([t for _, t in rows]), strict=True)}
+    want = {i: b.decode(errors="ignore") for (i, _), (_, _, b) in zip(rows, brute.duplicated([t for _, t in rows], 240), strict=True)}
     assert want == {1: "q\ufffd\x01B ", 2: "w\x01A \ufffd", 3: "\ufffd whole"}
     assert texts(pipeline.drop_repeated_strings(spark, docs, DATA)) == want
 
 
+def test_passages_of_over_fifty_words_go_and_clean_text_stays(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows, passages = [], []
+    for i in range(40):
+        passages.append(words(rng.randint(51, 60)))
+        for j in range(2 + i % 3):
+            rows.append((len(rows), f"{words(30)}. {passages[-1]}. {words(30)}"))
+    clean = [(1000 + i, words(120)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows + clean], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = texts(pipeline.drop_repeated_strings(spark, docs, DATA))
+    assert not [p for p in passages if any(p in t for t in got.values())]
+    assert all(len(got[i].split()) in (59, 60, 61, 62) for i, _ in rows)
+    assert {i: got[i] for i, _ in clean} == dict(clean)
+
+
+def test_columns_with_clashing_names_stay(spark):
+    names = ["copies", "digest", "found", "hit", "told", "size", "kept", "n_hit", "key", "token", "lang_pred", "n_removed", "row", "__hit", "__lang", "a.b"]
+    rows = [(i, f"some plain words number {i} of a text", "en", "a", 1, *range(len(names))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for _, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {tuple(range(len(names)))}
+    pipeline.pack(spark, docs, DATA).collect()
+
+
 def test_documents_without_labels_stay(spark):
     docs = spark.createDataFrame([(1, "plain words", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "mots", None)], "doc_id long, text string, lang string")
     out = pipeline.identify_language(spark, docs, DATA)
