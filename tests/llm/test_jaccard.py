@@ -67,3 +67,12 @@ def test_connected_components(spark, tmp_path):
     got = {r[0]: r[1] for r in components.connected_components(links, str(tmp_path / "c")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {i: 150 for i in (150, 160, 170, 200)}
     assert components.connected_components(links.filter(F.lit(False)), str(tmp_path / "d")).count() == 0
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    """Thue-Morse words and their mirror images agree under any polynomial modulo 2**64."""
+    word = lambda a, b, n=4096: "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+    docs = [(1, f"one two {word('a', 'b')}"), (2, f"one two {word('b', 'a')}"), (3, word("a", "b")), (4, word("b", "a")), (5, word("a", "b"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.join_similar(df, words=3, percent=90).collect()}
+    assert got == brute.components(docs, 3, 90, 100) == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (1, 3)}

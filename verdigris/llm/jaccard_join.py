@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import RollingHash, bound_batches, digest, distinct_texts, join_groups, mix64, parts_by_bytes, shared_dir, shuffle_partitions, take_worker, text_or_empty, tidy, written
 from .components import connected_components, near_components
@@ -39,6 +40,8 @@ GROUP_MOST = 2048
 #: Further pairs that one member of a group proposes.
 PROPOSALS = 16
 _CHUNK = 250_000
+#: Bytes of words that a polynomial hash tells apart.
+_LONG = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -55,6 +58,8 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         inside = np.concatenate([[False], ~_SPACE[data]])
         starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
         word = RollingHash(data).slices(starts, ends)
+        for i in np.flatnonzero(ends - starts > _LONG).tolist():  # of long words some are known that a polynomial confuses
+            word[i] = xxh3_64_intdigest(data[starts[i] : ends[i]])
         text_ends = np.cumsum([len(t) + 1 for t in some])
         bounds = np.searchsorted(starts, text_ends, side="left").tolist()
         rolled = word.copy()
