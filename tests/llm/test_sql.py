@@ -9,7 +9,7 @@ DATA = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = queries.queries()[name](spark, DATA)
     columns = sorted(df.columns)

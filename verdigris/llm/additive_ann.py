@@ -169,14 +169,15 @@ def _search_block(index: DataFrame, shared, k: int, rerank: int) -> DataFrame:
             keep = np.sort(order[nth <= k])
             x, ids = x[keep], part["vec_id"].to_numpy(np.int64)[keep]
             codes = np.frombuffer(b"".join(part["codes"].iloc[keep]), np.uint8).reshape(len(keep), -1)
-            n = min(least, len(ids))
+            n, components = min(least, len(ids)), np.ascontiguousarray(x.T)
             score, found = np.empty((len(q), n)), np.empty((len(q), n), np.int64)
             for at in range(0, len(q), 256):
                 block = slice(at, at + 256)
                 rough = scores(tables[:, :, block], codes)
                 near = np.argpartition(-rough, n - 1, axis=0)[:n].T
-                # einsum adds in one fixed order, so equal vectors get equal scores
-                exact = np.einsum("qnd,qd->qn", x[near], q[block])
+                exact = np.zeros(near.shape)
+                for d in range(x.shape[1]):  # in the order of the components, as any plain sum
+                    exact += components[d][near] * q[block, d, None]
                 exact[ids[near] == q_ids[block, None]] = -np.inf
                 score[block], found[block] = exact, ids[near]
             score, found = np.concatenate([top_score, score], 1), np.concatenate([top_id, found], 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import suffix_dedup as S
 from . import url_reputation as U
 
 _SECOND = "|".join(U.SECOND_LEVEL)
@@ -51,3 +52,53 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def _runs(length: int) -> str:
+    """Maximal runs of bytes under strings of some length that start twice or more."""
+    return f"""SELECT id, min(i) AS lo, max(i) + {length} AS hi FROM (
+  SELECT id, i, sum(new) OVER (PARTITION BY id ORDER BY i) AS run FROM (
+    SELECT id, i, CASE WHEN i > lag(i) OVER (PARTITION BY id ORDER BY i) + {length} THEN 1 ELSE 0 END AS new FROM (
+      SELECT id, i, count(*) OVER (PARTITION BY k) AS n
+      FROM (SELECT id, i, md5(body[i + 1:i + {length}]) AS k FROM d, unnest(range(0, n_bytes - {length - 1})) t(i) WHERE n_bytes >= {length})
+    ) WHERE n > 1)) GROUP BY id, run"""
+
+
+#: Every string of the two lengths, the runs that repeated ones cover, and what lies between the runs.
+SUFFIX_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, encode(coalesce(text, '')) AS body, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents),
+runs AS ({_runs(S.LENGTH)}),
+passages AS ({_runs(S.PASSAGE)}),
+pieces AS (
+  SELECT id, lo, coalesce(lag(hi) OVER (PARTITION BY id ORDER BY lo), 0) AS after FROM runs
+  UNION ALL SELECT id, n_bytes, coalesce((SELECT max(hi) FROM runs r WHERE r.id = d.id), 0) FROM d),
+kept AS (SELECT id, sha256(unhex(coalesce(string_agg(hex(body[after + 1:lo]), '' ORDER BY lo) FILTER (lo > after), ''))) AS kept_sha256 FROM pieces JOIN d USING (id) GROUP BY id)
+SELECT doc_id, n_bytes, coalesce(r.n, 0)::BIGINT AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, kept_sha256, coalesce(p.n, 0)::BIGINT AS n_repeated
+FROM d JOIN kept USING (id) LEFT JOIN (SELECT id, sum(hi - lo) AS n, count(*) AS spans FROM runs GROUP BY id) r USING (id)
+LEFT JOIN (SELECT id, sum(hi - lo) AS n FROM passages GROUP BY id) p USING (id)
+"""
+
+#: Shingles of different texts, all pairs that share one, and what links reach.
+JACCARD_JOIN = f"""
+WITH RECURSIVE t AS (SELECT min(doc_id) AS id, coalesce(text, '') AS body FROM documents GROUP BY 2),
+w AS (SELECT id, regexp_extract_all(translate(body, '{U.UPPER}', '{U.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS words FROM t),
+sh AS (SELECT DISTINCT id, array_to_string(list_slice(words, i, i + 2), ' ') AS s FROM w, unnest(generate_series(1, greatest(1, len(words) - 2))) g(i) WHERE len(words) > 0),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+links AS (
+  SELECT a, b FROM (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM sh x JOIN sh y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2)
+  JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * shared >= 90 * (na.n + nb.n - shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id, id AS other FROM t UNION SELECT r.id, ways.b FROM reach r JOIN ways ON r.other = ways.a),
+root AS (SELECT id, min(other) AS root FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE root END AS component_id
+FROM documents JOIN t ON body = coalesce(text, '') JOIN root USING (id) LEFT JOIN n USING (id)
+"""
+
+#: The exact nearest, which the operator finds all where its recall is 1, as on tables of few vectors.
+NEAREST = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""

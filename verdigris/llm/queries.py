@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": oracles.URL_FILTER, "op8_decontaminate": oracles.DECONTAMINATE}
+    return {"op2_url_filter": oracles.URL_FILTER, "op4_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_jaccard_join": oracles.JACCARD_JOIN, "op8_decontaminate": oracles.DECONTAMINATE, "op10_additive_ann": oracles.NEAREST}
