@@ -35,22 +35,24 @@ SELECT page_id, host, path, rule, coalesce(says, CASE WHEN lower > {U.THRESHOLD}
 FROM seen JOIN rated USING (host) LEFT JOIN fits USING (page_id)
 """
 
-#: Windows of 13 words (or a whole shorter item) and the document words that any occurrence covers.
+#: Windows of 13 words (or a whole shorter item), the document words that any occurrence covers, and the longest run of windows of one item.
 DECONTAMINATE = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{U.UPPER}', '{U.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{U.UPPER}', '{U.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
 sized AS (SELECT item_id, words, least(13, len(words)) AS n FROM b WHERE len(words) > 0),
-windows AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(words, i, i + n - 1), ' ') AS key FROM sized, unnest(generate_series(1, len(words) - n + 1)) t(i)),
+windows AS (SELECT item_id, n, i AS place, array_to_string(list_slice(words, i, i + n - 1), ' ') AS key FROM sized, unnest(generate_series(1, len(words) - n + 1)) t(i)),
 lengths AS (SELECT DISTINCT n FROM windows),
 found AS (
-  SELECT d.doc_id, d.i, d.n, x.item_id
+  SELECT d.doc_id, d.i, d.n, x.item_id, d.i - x.place AS shift
   FROM (SELECT doc_id, i, n, array_to_string(list_slice(words, i, i + n - 1), ' ') AS key FROM w, lengths, unnest(generate_series(1, len(words) - n + 1)) t(i) WHERE len(words) >= n) d
   JOIN windows x ON d.key = x.key AND d.n = x.n),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, unnest(generate_series(i, i + n - 1)) t(p) GROUP BY doc_id),
+runs AS (SELECT doc_id, n, i - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY i) AS run, item_id, shift FROM found),
+longest AS (SELECT doc_id, max(words) AS words FROM (SELECT doc_id, count(*) + n - 1 AS words FROM runs GROUP BY doc_id, item_id, shift, run, n) GROUP BY doc_id),
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS names FROM found GROUP BY doc_id)
-SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
-FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+SELECT doc_id, len(w.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.words) AS contaminated, coalesce(longest.words, 0)::BIGINT AS longest_match
+FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 

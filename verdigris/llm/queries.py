@@ -62,10 +62,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages in every document."""
+    """Benchmark passages in every document, and the words of the longest verbatim match."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).cast("long")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", longest.alias("longest_match"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
