@@ -6,6 +6,7 @@ import decimal
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.lower import INT_MIN, UINT_MAX, from_variant, in_time, in_uint, let, to_variant, variant_kind
 from ..plans.env import Library
@@ -94,7 +95,7 @@ def timestamp_text(t):
 
 def micros(d):
     """Microseconds of a duration."""
-    return (F.extract(F.lit("DAY"), d).cast("bigint") * 86_400_000_000 + F.extract(F.lit("HOUR"), d).cast("bigint") * 3_600_000_000 + F.extract(F.lit("MINUTE"), d).cast("bigint") * 60_000_000 + (F.extract(F.lit("SECOND"), d) * 1_000_000).cast("bigint"))
+    return (d.cast(T.DayTimeIntervalType(3, 3)).cast("decimal(24,6)") * 1_000_000).cast("bigint")
 
 
 def duration_text(d):

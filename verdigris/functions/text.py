@@ -46,14 +46,17 @@ def _quoted(p):
     return F.concat(F.lit("\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def _split(s, p, n):
+def _split(c, s, p, n):
     # the limit is that of the parts, zero and less: no limit
+    text = c.literal(1)
+    if isinstance(text, str) and text:  # signs that mean nothing else, which Java looks for without a pattern if there is one
+        return F.split(s, "".join("\\" + x if x in ".$|()[{^?*+\\" else x for x in text), n)
     return F.split(s, _quoted(p), n)
 
 
 @add("@string.replace(string, string, int) -> string")
 def _(c, s, a, b, n):
-    parts = _split(s, a, F.when(n < 0, -1).otherwise(n + 1).cast("int"))
+    parts = _split(c, s, a, F.when(n < 0, -1).otherwise(n + 1).cast("int"))
     return F.when((n == 0) | (a == ""), F.when(b.isNotNull(), s)).otherwise(_joined(parts, b))
 
 
@@ -65,13 +68,13 @@ def _points(s):
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.substring(s, i, F.lit(1))))
 
 
-add("@string.split(string) -> list(string)")(lambda c, s, p: F.when(p == "", _points(s)).otherwise(_split(s, p, F.lit(-1))))
+add("@string.split(string) -> list(string)")(lambda c, s, p: F.when(p == "", _points(s)).otherwise(_split(c, s, p, F.lit(-1))))
 
 
 @add("@string.split(string, int) -> list(string)")
 def _(c, s, p, n):
     chars = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, _size(s))).cast("int")), lambda i: F.when(i < n, F.substring(s, i, F.lit(1))).otherwise(F.substring(s, i, F.length(s))))
-    some = F.when(p == "", F.when((n < 0) | (s == ""), _points(s)).otherwise(chars)).otherwise(_split(s, p, F.when(n < 0, -1).otherwise(n).cast("int")))
+    some = F.when(p == "", F.when((n < 0) | (s == ""), _points(s)).otherwise(chars)).otherwise(_split(c, s, p, F.when(n < 0, -1).otherwise(n).cast("int")))
     return F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(s)).otherwise(some)
 
 

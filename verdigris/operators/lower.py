@@ -564,6 +564,9 @@ class Lowerer:
             failed = any_failed(*parts)
             items = [convert(p.v, a.type, (k, v)[i % 2]) for i, (p, a) in enumerate(zip(parts, t.args, strict=True))]
             return Lowered(unless(failed, F.create_map(*items)), strict=failed is not None, sure=failed is None)
+        if len(parts) == 2 and not any(t.value):  # one key occurs once
+            key, value = (convert(p.v, a.type, want) for p, a, want in zip(parts, t.args, (k, v), strict=True))
+            return Lowered(unless(any_failed(*parts), F.when(key.isNotNull(), F.create_map(key, value))), strict=True)
         entries = []
         for (p, a), (q, b), o in zip(zip(parts[::2], t.args[::2], strict=True), zip(parts[1::2], t.args[1::2], strict=True), t.value, strict=True):
             key = convert(p.v, a.type, k)
