@@ -159,3 +159,13 @@ def test_messages_enums_and_operators(spark):
     assert spark.range(1).select(twice.compile("twice(4)").column()).first()[0] == 8
     ext = env.child()
     assert run("proto.hasExt(r, 'age')", ext) == [True, None, True]
+
+
+def test_fields_of_any_value_take_what_has_json(spark):
+    env = Env({}, ALL).message("Box", "data variant").message("google.protobuf.FieldMask", "paths array<string>").message("google.protobuf.Empty", "struct<>").message("P", "x bigint")
+    prepare(spark)
+    value = lambda t: spark.range(1).select(env.compile(t).column()).first()[0]
+    for text, want in (("5", "5.0"), ("9007199254740993u", "'9007199254740993'"), ("b'ab'", "'YWI='"), ("timestamp('2024-01-01T00:00:00Z')", "'2024-01-01T00:00:00Z'"), ("duration('90s')", "'90s'"), ("null", "null"), ("[1, 2]", "[1.0, 2.0]"), ("google.protobuf.FieldMask{paths: ['a', 'b']}", "'a,b'"), ("true", "true")):
+        assert value(f"Box{{data: {text}}}.data == {want}") is True, text
+    failed = lambda t: spark.range(1).select(env.compile(t).failed()).first()[0]
+    assert failed("Box{data: {1: 2}}") and failed("Box{data: P{x: 1}}") and not failed("Box{data: {'a': 2}}")

@@ -119,13 +119,15 @@ def optional_more(spark, d):
     return columns(table(spark, d, "events"), ["event_id"], a="optional.of(user_id).value()", b="optional.ofNonZeroValue(user_id % 3).hasValue()", c="optional.ofNonZeroValue(user_id % 3).or(optional.of(7)).value()", e="[event_type].first().orValue('')", f="{'a': {'b': user_id}}.?a.?b.orValue(0) > 10")
 
 
-@query("""SELECT event_id, user_id + 1 AS a, false AS b, 0::BIGINT AS c, event_type AS e, event_type = 'click' AS f, user_id AS g, true AS h FROM events""")
+@query("""SELECT event_id, user_id + 1 AS a, false AS b, 0::BIGINT AS c, event_type AS e, event_type = 'click' AS f, user_id AS g, true AS h, user_id > 7 AS i, true AS k FROM events""")
 def message_ops(spark, d):
     df = table(spark, d, "events").withColumn("row", F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("user")))
     env = Env.from_schema(df.schema, ALL).message("shop.Event", "kind string, user bigint", explicit_presence=False)
+    env.message("shop.Box", "data variant").message("google.protobuf.FieldMask", "paths array<string>")
     programs = {
         "a": "shop.Event{kind: event_type, user: user_id}.user + 1", "b": "has(shop.Event{kind: event_type}.user)", "c": "shop.Event{kind: event_type}.user", "e": "row.kind", "f": "row.kind == 'click' && has(row.user)",
         "g": "google.protobuf.Int64Value{value: user_id}", "h": "proto.hasExt(row, 'kind') && proto.getExt(row, 'user') == user_id && shop.Event{user: 1} == shop.Event{user: 1}",
+        "i": "shop.Box{data: user_id}.data > 7", "k": "shop.Box{data: 9007199254740993}.data == '9007199254740993' && shop.Box{data: b'ab'}.data == 'YWI=' && shop.Box{data: google.protobuf.FieldMask{paths: ['a', 'b']}}.data == 'a,b' && shop.Box{data: {'n': [user_id]}}.data.n[0] == user_id",
     }
     return df.select("event_id", *[env.compile(t).column().alias(n) for n, t in programs.items()])
 

@@ -95,6 +95,45 @@ def to_variant(v: Column, t: Type) -> Column:
     return v.cast(T.VariantType())
 
 
+#: The largest integer up to which a double holds every one; fixed value.
+SAFE_INTEGER = (1 << 53) - 1
+
+
+def json_can_fail(t: Type) -> bool:
+    """Whether a value of the type may have no JSON: maps by other keys than strings, and messages but two."""
+    t = bare(t)
+    if t.kind == "map":
+        return t.args[0].kind not in ("string", "dyn", "param") or json_can_fail(t.args[1])
+    return t.kind == "message" and t.name not in ("google.protobuf.Empty", "google.protobuf.FieldMask") or t.kind == "list" and json_can_fail(t.args[0])
+
+
+def json_value(v: Column, t: Type) -> Column:
+    """What a field that holds any JSON value gets of a value, as a variant: numbers are doubles, large integers texts, bytes base64; NULL for what has no JSON."""
+    from ..functions.standard import duration_text, timestamp_text
+
+    t = bare(t)
+    match t.kind:
+        case "int" | "uint":
+            return F.when(F.abs(v) <= SAFE_INTEGER, v.cast("double").cast(T.VariantType())).otherwise(v.cast("string").cast(T.VariantType()))
+        case "bytes":
+            return F.translate(F.base64(v), "\r\n", "").cast(T.VariantType())
+        case "timestamp":
+            return timestamp_text(v).cast(T.VariantType())
+        case "duration":
+            return duration_text(v).cast(T.VariantType())
+        case "list":
+            return F.to_variant_object(F.transform(v, lambda x: json_value(x, t.args[0]))) if not json_can_fail(t) else F.lit(None).cast(T.VariantType())
+        case "map" if not json_can_fail(t):
+            return F.to_variant_object(F.transform_values(v, lambda k, x: json_value(x, t.args[1])))
+        case "message" if t.name == "google.protobuf.FieldMask":
+            return F.array_join(F.coalesce(v["paths"], F.array().cast("array<string>")), ",").cast(T.VariantType())
+        case "message" if t.name == "google.protobuf.Empty":
+            return F.when(v.isNotNull(), F.parse_json(F.lit("{}")))
+        case "map" | "message":
+            return F.lit(None).cast(T.VariantType())
+    return to_variant(v, t)
+
+
 def convert(v: Column, a: Type, b: Type) -> Column:
     """A column of type a where b is wanted."""
     if bare(a) == bare(b) or b.kind == "param":
@@ -584,7 +623,14 @@ class Lowerer:
             if f.name in given:
                 p, a, o = given[f.name]
                 v = p.v["v"] if o else p.v
-                fields.append(v.cast(f.dataType).alias(f.name))
+                if isinstance(f.dataType, T.VariantType):
+                    given_type = a.type.args[0] if o else a.type
+                    fields.append(json_value(v, given_type).alias(f.name))
+                    if json_can_fail(given_type):
+                        wrong = v.isNotNull() & json_value(v, given_type).isNull()
+                        failed = wrong if failed is None else failed | wrong
+                else:
+                    fields.append(v.cast(f.dataType).alias(f.name))
             else:
                 fields.append((zero_of(f.dataType) if self._implicit(name) else F.lit(None).cast(f.dataType)).alias(f.name))
         return Lowered(unless(failed, F.struct(*fields)), bad=(lambda: failed) if failed is not None else None, sure=failed is None)
