@@ -62,3 +62,14 @@ def test_names_inside_meet_none_of_the_input(spark):
     assert [tuple(r) for r in back(packed).collect()] == [(1, 2, "t")] and back(packed).columns == df.columns
     only, back = common.set_aside(df.select("text"), "text")
     assert [tuple(r) for r in back(only).collect()] == [("t",)]
+
+
+def test_tasks_follow_the_size_of_the_input(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert common.tasks_for(docs) == common.shuffle_partitions(spark)
+    monkeypatch.setattr(common, "TASK_BYTES", 1000)
+    assert 50 < common.tasks_for(docs) < 5000
+    assert common.tasks_for(spark.createDataFrame([("a",)], "text string")) >= common.shuffle_partitions(spark)
+    path = common.shared_dir(spark)
+    assert common.distinct_texts(docs.limit(30), f"{path}/texts").count() <= 30
+    common.remove(spark, path)

@@ -125,6 +125,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Stored bytes of input that one task should get at most.
+TASK_BYTES = 128 << 20
+#: Buckets that Spark lets a table have, by its own default.
+MOST_BUCKETS = 100_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """As many tasks as the session shuffles by, or more where what df is read from is large."""
+    size, least = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), shuffle_partitions(df.sparkSession)
+    return max(least, -(-size // TASK_BYTES)) if size < 1 << 50 else least  # Spark takes unknown sizes for larger ones
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -152,7 +164,7 @@ def distinct_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     base = docs.select(text_or_empty(text).alias("text")).select(digest(F.col("text")).alias("digest"), "text")
     one = base.groupBy("digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     one = one.withColumn("tid", F.monotonically_increasing_id())
-    return bucketed(one, "digest", path, shuffle_partitions(docs.sparkSession))
+    return bucketed(one, "digest", path, min(MOST_BUCKETS, tasks_for(docs)))
 
 
 #: A group counts as hot with more than 1/HOT of all rows, of which there are fewer than HOT, or with more than HOT_ROWS.

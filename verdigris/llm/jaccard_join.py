@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import RollingHash, bound_batches, digest, distinct_texts, join_groups, mix64, parts_by_bytes, shared_dir, shuffle_partitions, take_worker, text_or_empty, tidy, written
+from .common import RollingHash, bound_batches, digest, distinct_texts, join_groups, mix64, parts_by_bytes, shared_dir, take_worker, tasks_for, text_or_empty, tidy, written
 from .components import connected_components, near_components
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -245,7 +245,7 @@ def _profile_rows(words: int, percent: int, bins_of):
 
 def profiles(texts: DataFrame, path: str, words: int, percent: int) -> DataFrame:
     """One row per stored text (digest, tid, text, copies): its set's size and, where similar sets may exist, its prefixes, histogram and shingles."""
-    parts = shuffle_partitions(texts.sparkSession)
+    parts = tasks_for(texts)
     buckets = 4 * parts
     bodies = texts.select("tid", F.col("text").cast("binary").alias("body"))
     counted = bodies.mapInArrow(_count_rows(words, percent, buckets), "bucket int, token binary, owner binary, base long").repartition(parts, "bucket")
@@ -414,7 +414,7 @@ def similar_links(some: DataFrame, path: str, percent: int, group_most: int = GR
     member = written(_memberships(some, group_most), f"{path}/members")
     if member.isEmpty():
         return None
-    parts, group = shuffle_partitions(spark), ["token", "low", "high"]
+    parts, group = tasks_for(some), ["token", "low", "high"]
     facts = ["digest", "n", "second", "third", "bins"]
     sets = some.select("digest", "n", "shingles")
     left, right = (sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns]) for s in ("a", "b"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingHash, bound_batches, lets_go, parts_by_bytes, shared_dir, shuffle_partitions, take_worker
+from .common import RollingHash, bound_batches, lets_go, parts_by_bytes, shared_dir, take_worker, tasks_for
 
 #: Ids of one block, at least; memory of a writing task is bounded by this and one document.
 BLOCK_IDS = 1 << 20
@@ -327,7 +327,7 @@ def write_token_files(
     rows = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
     # the text's hash lets rows of one key go to several tasks
     ordered = rows.withColumn("mark", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange(shuffle_partitions(spark), F.col("key").asc_nulls_first(), "mark").sortWithinPartitions(F.col("key").asc_nulls_first(), "mark", "text").drop("mark")
+    ordered = ordered.repartitionByRange(tasks_for(docs), F.col("key").asc_nulls_first(), "mark").sortWithinPartitions(F.col("key").asc_nulls_first(), "mark", "text").drop("mark")
     schema = T._parse_datatype_string(_BLOCK.format(key=kind.simpleString()))
 
     bound_batches(spark)
