@@ -414,6 +414,7 @@ def similar_links(some: DataFrame, path: str, percent: int, group_most: int = GR
     member = written(_memberships(some, group_most), f"{path}/members")
     if member.isEmpty():
         return None
+    tidy(spark)
     parts, group = tasks_for(some), ["token", "low", "high"]
     facts = ["digest", "n", "second", "third", "bins"]
     sets = some.select("digest", "n", "shingles")
@@ -436,6 +437,7 @@ def similar_links(some: DataFrame, path: str, percent: int, group_most: int = GR
         return rows.join(label, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("component", "digest")).drop("node", "component")
 
     tree = edges_of(member.join(some.select(*facts), "digest"), "tree")
+    tidy(spark)  # the histograms that were dealt out go before the sets are
     # one edge of each node first; most others then lie inside a component
     pairs = tree.select("a", "b").distinct()
     first = pairs.groupBy("b").agg(F.min("a").alias("a"))
