@@ -99,15 +99,21 @@ def fuzzy_places(text: str, notices: tuple[tuple[str, str], ...] = NOTICES, char
             near.setdefault(which, set()).add((max(0, begin - k - 1), begin + len(notices[which][0]) + k))
     found = []
     for which, windows in near.items():
-        found += [(which, start - 1, end - 1, edits) for start, end, edits in _apart(text, fuzzy[which][1], windows)]
+        found += [(which, start - 1, end - 1, edits) for start, end, edits in _apart(text, notices[which][0], *fuzzy[which], windows)]
     return found
 
 
-def _apart(text: str, pattern, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, edits) of one notice's places in windows of the text, best first where they overlap."""
+def _apart(text: str, notice: str, k: int, pattern, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of one notice's places in windows of the text, which begins and ends with a blank, best first where they overlap."""
     best: list[tuple[int, int, int, int, int]] = []
 
     def search(low: int, high: int) -> None:
+        if high - low < len(notice) - k:
+            return
+        at = text.find(f" {notice} ", max(0, low - 1), high + 1)
+        if at >= 0:  # nothing is better than no edit
+            heapq.heappush(best, (0, at + 1, at + 1 + len(notice), low, high))
+            return
         if high < len(text):  # the search takes the end of a window for the end of a word
             high = max(low, text.rfind(" ", low, high + 1))
         m = pattern.search(text, low, min(len(text), high))
