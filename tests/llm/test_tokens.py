@@ -165,3 +165,16 @@ def test_packing_odd_rows(spark):
     assert sum(r["doc_id"] == 7 for r in got) == 2
     assert all(len(r["ids"]) == r["length"] for r in got)
     assert packing.pack_documents(docs.limit(0), path).count() == 0
+
+
+def test_memory_of_packing_is_bounded_within_one_call():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    # one batch of texts with ten words each that no other text has
+    texts = [" ".join(f"q{chr(97 + i % 26)}{i // 26:x}w{j:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(10)) for i in range(60_000)]
+    mine = tokens.PieceEncoder(path, packing.REMEMBERED, packing.CHUNK)
+    got = mine.encode(texts)
+    per_chunk = packing.CHUNK // 8
+    assert len(mine.known) <= packing.REMEMBERED + per_chunk and len(mine.before) <= packing.REMEMBERED + per_chunk
+    whole = Tokenizer.from_file(path)
+    for i in (0, 31_234, 59_999):
+        assert np.frombuffer(got[i], mine.dtype).tolist() == whole.encode(texts[i], add_special_tokens=False).ids

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,13 +94,19 @@ def take_worker(name: str) -> None:
         for clear in _LETTING_GO:
             clear()
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library keeps or returns memory as it likes
-            pass
+        give_back()
     _HOLDER[0] = name
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed; its allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps or returns memory as it likes
+        pass
+
+
 def _tables_below(path: str) -> str:
     """The first letters of the names of the tables that bucketed() keeps below a folder of shared_dir()."""
     return "verdigris_" + (re.findall(r"verdigris-([0-9a-f]{32})", path) or [re.sub(r"\W", "_", path)])[-1]

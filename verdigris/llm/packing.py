@@ -17,13 +17,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bound_batches, take_worker
+from .common import bound_batches, give_back, take_worker
 from .tokens import TEXTS, encoder
 
 #: Tokens of a window, of a piece at most, and of the pieces packed together at least.
 CAPACITY = 2048
 PIECE = 512
 BLOCK_TOKENS = 1 << 19
+#: Pieces of text whose ids a worker remembers, and bytes of text cut at once: less than elsewhere, as blocks are held beside.
+REMEMBERED, CHUNK = 250_000, 500_000
 
 
 def difference(sizes: list[int], k: int) -> np.ndarray:
@@ -126,7 +128,7 @@ def pack_documents(
     def run(batches):
         take_worker("packing")
         nonlocal dtype
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, REMEMBERED, CHUNK)
         dtype = enc.dtype
         end, width = np.array([end_id], dtype).tobytes(), dtype.itemsize
         sequence = TaskContext.get().partitionId() << 33
@@ -158,6 +160,7 @@ def pack_documents(
                         else:
                             rest.append(item)
                             held += length
+                give_back()
                 if whole:
                     yield frame(whole, np.arange(len(whole)), sequence)
                     sequence += len(whole)

@@ -91,7 +91,8 @@ class PieceEncoder:
     special tokens, and so is every text of a tokenizer of another kind.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED, chunk: int = _CHUNK):
+        self.remembered, self.chunk = remembered, chunk
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -228,8 +229,6 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as packed little-endian integers; null counts as empty."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
         out: list[bytes] = [b""] * len(texts)
         whole = [i for i, t in enumerate(texts) if t and (not self.cuts or "<|" in t)]
         for i in whole:
@@ -237,7 +236,9 @@ class PieceEncoder:
         left = set(whole)
         rows = [i for i, t in enumerate(texts) if t and i not in left]
         bodies = [texts[i].encode() for i in rows]
-        for part in parts_by_bytes(np.array([len(b) for b in bodies], np.int64), _CHUNK):
+        for part in parts_by_bytes(np.array([len(b) for b in bodies], np.int64), self.chunk):
+            if len(self.known) > self.remembered:
+                self.known, self.before = {}, self.known
             for i, ids in zip(rows[part], self._encode_joined(bodies[part]), strict=True):
                 out[i] = ids
         return out
@@ -248,9 +249,9 @@ _SHOWN = {b: chr(c) for b, c in _BYTE_LEVEL.items() if b != 10}
 
 
 @functools.lru_cache(4)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, remembered: int = REMEMBERED, chunk: int = _CHUNK) -> PieceEncoder:
     """One encoder per worker process, so what it remembers serves all its tasks."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, remembered, chunk)
 
 
 lets_go(encoder.cache_clear)
